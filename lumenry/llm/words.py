@@ -163,3 +163,15 @@ def joined(words: Words, keep: np.ndarray) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     data = held[chosen]
     return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes()))
+
+
+def chunks(batches, column: str, limit: int = 4 << 20):
+    """Slices of record batches whose texts hold about ``limit`` bytes, one row at least."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        if not len(sizes):
+            continue
+        part = np.cumsum(sizes) // limit
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(sizes)]])
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield batch.slice(a, b - a)
