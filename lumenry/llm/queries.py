@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe
+from .ngram_join import ngram_join
 from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
 
@@ -37,10 +38,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op7_bpe": op7_bpe,
     "op8_quality_rules": op8_quality_rules,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 SQL: dict[str, str] = {}

@@ -127,7 +127,8 @@ def widen(sums: np.ndarray, length: int, wider: int, hashes: np.ndarray, base: i
 
 
 def spread(sums: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
-    return mix(sums + np.uint64(0x632BE59BD9B4E019) * (np.asarray(salt).astype(np.uint64) + np.uint64(1)))
+    step = np.array([0x632BE59BD9B4E019], np.uint64)  # of arrays, products wrap around in silence
+    return mix(sums + step * (np.atleast_1d(salt).astype(np.uint64) + np.uint64(1)))
 
 
 def covered(at: np.ndarray, length: int, size: int) -> np.ndarray:
