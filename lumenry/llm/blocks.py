@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import LongType, StructField, StructType
 
 BLOCK_BYTES = 6 << 20
 ASK = "shard int, block long, keys binary, extra binary"
@@ -60,14 +61,14 @@ def _tagger(block_bytes: int):
 
 
 def write_blocks(texts: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``texts`` (doc_id long, text string) with a block number, bucketed by it.
+    """``texts`` (doc_id long, text string, and what is carried along) with a block number, bucketed by it.
 
     The numbers come from where a row was read, once: afterwards the table is what holds.
     """
     spark = texts.sparkSession
     name, path = f"lumenry_{uuid.uuid4().hex}", shared_folder(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tagged = texts.mapInArrow(_tagger(block_bytes), "block long, doc_id long, text string")
+    tagged = texts.mapInArrow(_tagger(block_bytes), StructType([StructField("block", LongType()), *texts.schema.fields]))
     tagged.write.option("compression", "zstd").option("path", path).bucketBy(buckets, "block").saveAsTable(name)
     return spark.table(name)
 

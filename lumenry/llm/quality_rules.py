@@ -176,35 +176,59 @@ def quality_rules(
     texts = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")
     )
-    held = _held(texts, limits)
+    judge = _judge(_held(texts, limits), limits)
 
-    def judge(batches):
+    def run(batches):
         for batch in W.chunks(batches, "text", 16 << 20):
-            texts = batch.column("text")
-            _, counts, kinds = measure(texts, limits.repeat_window)
-            words, hashes = _lower_hashes(texts)
-            langs = np.asarray(batch.column("lang").fill_null("").to_pylist(), object)
-            owner = words.text_of()
-            of_class = np.full(len(langs), np.nan)
-            of_words = np.full(len(langs), np.nan)
-            for lang in set(langs) & held.keys():
-                classes, ids, shares = held[lang]
-                mine = np.flatnonzero(langs == lang)
-                of_class[mine] = distance(kinds[mine], np.tile(classes, (len(mine), 1)))
-                row = np.full(len(langs), -1)
-                row[mine] = np.arange(len(mine))
-                chosen = np.flatnonzero(row[owner] >= 0)
-                rank = np.argsort(ids)
-                place = np.minimum(np.searchsorted(ids[rank], hashes[chosen]), len(ids) - 1)
-                bin_ = np.where(ids[rank][place] == hashes[chosen], rank[place], len(ids))
-                size = len(ids) + 1
-                histogram = np.bincount(row[owner[chosen]] * size + bin_, minlength=len(mine) * size).reshape(len(mine), size)
-                of_words[mine] = distance(histogram, np.tile(np.append(shares, max(0.0, 1 - shares.sum())), (len(mine), 1)))
-            failed = base_failed(counts, limits)
-            far = (np.nan_to_num(of_class) > limits.class_distance) | (np.nan_to_num(of_words) > limits.word_distance)
-            kept = ~failed & ~(far & (counts["n_words"] >= limits.profile_words))
-            out = {"doc_id": batch.column("doc_id"), **{k: pa.array(v.astype(np.int64)) for k, v in counts.items()}}
-            out |= {"base_failed": pa.array(failed), "class_distance": pa.array(of_class, from_pandas=True), "word_distance": pa.array(of_words, from_pandas=True), "kept": pa.array(kept)}
-            yield pa.RecordBatch.from_pydict(out)
-
-    return texts.mapInArrow(judge, RESULT)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), **judge(batch.column("text"), batch.column("lang"))})
+
+    return texts.mapInArrow(run, RESULT)
+
+
+def keep_good(docs: DataFrame, limits: Limits = Limits(), text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs``, as they are, that ``quality_rules`` keeps; judged in the same pass that reads them."""
+    texts = docs.select(F.lit(0).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    judge = _judge(_held(texts, limits), limits)
+
+    def run(batches):
+        for batch in W.chunks(batches, text_col, 16 << 20):
+            yield batch.filter(judge(batch.column(text_col), batch.column(lang_col))["kept"])
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _judge(held: dict[str, tuple], limits: Limits):
+    """Counts, distances and verdicts of a batch of texts by the profiles of ``held``."""
+
+    def judge(texts: pa.Array, lang: pa.Array) -> dict[str, pa.Array]:
+        _, counts, kinds = measure(texts, limits.repeat_window)
+        words, hashes = _lower_hashes(texts)
+        langs = np.asarray(lang.fill_null("").to_pylist(), object)
+        owner = words.text_of()
+        of_class = np.full(len(langs), np.nan)
+        of_words = np.full(len(langs), np.nan)
+        for name in set(langs) & held.keys():
+            classes, ids, shares = held[name]
+            mine = np.flatnonzero(langs == name)
+            of_class[mine] = distance(kinds[mine], np.tile(classes, (len(mine), 1)))
+            row = np.full(len(langs), -1)
+            row[mine] = np.arange(len(mine))
+            chosen = np.flatnonzero(row[owner] >= 0)
+            rank = np.argsort(ids)
+            place = np.minimum(np.searchsorted(ids[rank], hashes[chosen]), len(ids) - 1)
+            bin_ = np.where(ids[rank][place] == hashes[chosen], rank[place], len(ids))
+            size = len(ids) + 1
+            histogram = np.bincount(row[owner[chosen]] * size + bin_, minlength=len(mine) * size).reshape(len(mine), size)
+            of_words[mine] = distance(histogram, np.tile(np.append(shares, max(0.0, 1 - shares.sum())), (len(mine), 1)))
+        failed = base_failed(counts, limits)
+        far = (np.nan_to_num(of_class) > limits.class_distance) | (np.nan_to_num(of_words) > limits.word_distance)
+        kept = ~failed & ~(far & (counts["n_words"] >= limits.profile_words))
+        return {
+            **{k: pa.array(v.astype(np.int64)) for k, v in counts.items()},
+            "base_failed": pa.array(failed),
+            "class_distance": pa.array(of_class, from_pandas=True),
+            "word_distance": pa.array(of_words, from_pandas=True),
+            "kept": pa.array(kept),
+        }
+
+    return judge

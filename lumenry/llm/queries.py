@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe
+from .mixing import mix_sources
 from .ngram_join import ngram_join
 from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
 
 VOCABULARY = "word_bpe_49k.json"
+#: The mixture: domains (which the test tables only imply, by the number in a source's name), languages, sources.
+NUMBER = "coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INT), 2)"
+MIX_LEVELS = (f"CASE pmod({NUMBER}, 3) WHEN 0 THEN 'reference' WHEN 1 THEN 'forum' ELSE 'web' END", "lang", "source")
+MIX_WEIGHTS = {("reference",): 3.0, ("forum",): 1.0, ("web",): 2.0, ("reference", "de"): 3.0, ("web", "en"): 2.0}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +27,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"), MIX_LEVELS, 0.5, MIX_WEIGHTS, epochs=2)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -44,6 +53,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op5_mixing": op5_mixing,
     "op7_bpe": op7_bpe,
     "op8_quality_rules": op8_quality_rules,
     "op10_ngram_join": op10_ngram_join,

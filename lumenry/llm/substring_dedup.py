@@ -8,11 +8,14 @@ document of each window, and answer each block whether it holds that one.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import blocks as B
 from . import words as W
@@ -105,14 +108,19 @@ def _holds_first(keys: list[bytes], about: list[bytes]) -> list[bytes]:
 
 
 def substring_dedup(
-    docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = B.BLOCK_BYTES
+    docs: DataFrame,
+    window: int = 20,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    carry: Sequence[str] = (),
+    block_bytes: int = B.BLOCK_BYTES,
 ) -> DataFrame:
     """Removes each word in a window of ``window`` words whose word sequence also starts earlier.
 
     Earlier: in a document of smaller id, or at an earlier word of the same document;
     windows are those of the input. Returns doc_id, n_words, n_removed, kept_text (kept
     words joined by one space) and removed (word ranges, end exclusive), one row for
-    each input row.
+    each input row; with ``carry``, also those columns of the row, as the struct ``row``.
 
     Null and empty texts have no words: zero counts, an empty kept_text. Texts shorter
     than the window lose nothing. A null id stands before all others, as the smallest.
@@ -120,15 +128,21 @@ def substring_dedup(
     don't make each other go. Other columns of ``docs``, of any name, are not read.
     An empty table gives an empty result. Very long texts make a block of their own.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(text_col).cast("string").alias("text"),
+        *([F.struct(*carry).alias("row")] if carry else []),
+    )
     held = B.write_blocks(texts, block_bytes)
+    light = held.select("block", "doc_id", "text")
     shards, levels = B.shard_count(held), lengths(window)
     known = None
     for k in range(len(levels)):
         reply = _holds_first if k == len(levels) - 1 else B.repeated
-        got = B.written(B.answer(_asks(held, known, levels, k, shards), k, reply))
+        got = B.written(B.answer(_asks(light, known, levels, k, shards), k, reply))
         known = got if known is None else known.unionByName(got)
-    return _cogrouped(held, known, _result(levels), RESULT)
+    schema = StructType([*StructType.fromDDL(RESULT).fields, *(f for f in texts.schema.fields if f.name == "row")])
+    return _cogrouped(held, known, _result(levels), schema)
 
 
 def _least_id(table: pa.Table) -> pa.Table:
@@ -136,7 +150,7 @@ def _least_id(table: pa.Table) -> pa.Table:
     return table.set_column(table.schema.get_field_index("doc_id"), "doc_id", pc.fill_null(table["doc_id"], -(2**63)))
 
 
-def _cogrouped(held: DataFrame, known: DataFrame, run, schema: str) -> DataFrame:
+def _cogrouped(held: DataFrame, known: DataFrame, run, schema: str | StructType) -> DataFrame:
     return held.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, schema)
 
 
@@ -174,6 +188,7 @@ def _result(levels: list[int]):
             [pa.array((x - words.first[owner]).astype(np.int32)) for x in (begin, end)], names=["start", "end"]
         )
         offsets = np.searchsorted(begin, words.first).astype(np.int32)
+        carried = {"row": table["row"]} if "row" in table.column_names else {}
         return pa.table(
             {
                 "doc_id": table["doc_id"],
@@ -181,6 +196,7 @@ def _result(levels: list[int]):
                 "n_removed": pa.array(W.per_text(gone, words.first)),
                 "kept_text": W.joined(words, ~gone).cast(pa.string()),
                 "removed": pa.ListArray.from_arrays(pa.array(offsets), spans),
+                **carried,
             }
         )
 
