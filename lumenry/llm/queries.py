@@ -10,6 +10,7 @@ from .mixing import mix_sources
 from .ngram_join import ngram_join
 from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
+from .topk import top_k
 
 VOCABULARY = "word_bpe_49k.json"
 #: The mixture: domains (which the test tables only imply, by the number in a source's name), languages, sources.
@@ -47,6 +48,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op7_bpe": op7_bpe,
     "op8_quality_rules": op8_quality_rules,
+    "op9_topk": op9_topk,
     "op10_ngram_join": op10_ngram_join,
 }
 
