@@ -11,6 +11,7 @@ from .ngram_join import ngram_join
 from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
 from .topk import top_k
+from .toxicity import toxicity
 
 VOCABULARY = "word_bpe_49k.json"
 #: The mixture: domains (which the test tables only imply, by the number in a source's name), languages, sources.
@@ -32,6 +33,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"), MIX_LEVELS, 0.5, MIX_WEIGHTS, epochs=2)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,6 +64,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op5_mixing": op5_mixing,
+    "op6_toxicity": op6_toxicity,
     "op7_bpe": op7_bpe,
     "op8_quality_rules": op8_quality_rules,
     "op9_topk": op9_topk,
