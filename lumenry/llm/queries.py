@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe
+from .html_text import html_text
 from .mixing import mix_sources
 from .ngram_join import ngram_join
 from .quality_rules import quality_rules
@@ -29,6 +30,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text(_table(spark, sf_dir, "pages"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"), MIX_LEVELS, 0.5, MIX_WEIGHTS, epochs=2)
 
@@ -63,6 +68,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_html_text": op4_html_text,
     "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
     "op7_bpe": op7_bpe,
