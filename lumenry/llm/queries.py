@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe
 from .html_text import html_text
+from .license_scan import license_scan
 from .mixing import mix_sources
 from .ngram_join import ngram_join
 from .quality_rules import quality_rules
@@ -25,6 +26,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -67,6 +72,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_html_text": op4_html_text,
     "op5_mixing": op5_mixing,

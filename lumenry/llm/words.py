@@ -74,12 +74,12 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([held, np.zeros(8, np.uint8)]), offsets - offsets[0]
 
 
-def split(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> Words:
-    """Words of every text; ``lower`` turns A-Z into a-z first."""
+def split(column: pa.Array | pa.ChunkedArray, lower: bool = False, separator: np.ndarray = SEPARATOR) -> Words:
+    """Words of every text; ``lower`` turns A-Z into a-z first, ``separator`` tells the bytes between words."""
     held, at = utf8(column)
     if lower:
         held = LOWER[held]
-    inside = ~SEPARATOR[held[:-8]]
+    inside = ~separator[held[:-8]]
     size = len(inside)
     before = np.zeros(size, bool)
     after = np.zeros(size, bool)
