@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 
-HELD_WORDS = 150_000  # words whose encoding a task keeps; beyond, it starts anew
+HELD_WORDS = 120_000  # words whose encoding a task keeps; beyond, it starts anew
 RESULT = "doc_id long, ids array<int>, decoded string"
 # \x1c-\x1f count as white space for str.split, but not in the Unicode property
 _SPLIT_BY_HAND = regex.compile("[\x1c-\x1f]")
@@ -213,7 +213,7 @@ def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches):
         encoder = _Encoder(vocabulary(sent.value))
-        for batch in W.chunks(batches, "text", 8 << 20):
+        for batch in W.chunks(batches, "text", 4 << 20):
             texts = [encoder.split(x) for x in batch.column("text").to_pylist()]
             encoder.learn({w for x in texts for w in x})
             ids, shown = encoder.ids.__getitem__, encoder.shown.__getitem__

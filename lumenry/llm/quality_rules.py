@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from . import words as W
 
 CLASSES = ("lower", "upper", "digit", "space", "sentence", "symbol", "other ascii", "beyond ascii")
+CHUNK = 3 << 20  # bytes of text that are measured at once; arrays of eight bytes a byte are made of them
+WAITING = 2 << 20  # words that a task counts at once
 SYMBOLS = b"#*$%&|<>"
 _CLASS = np.full(256, 6, np.int64)
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58] = 0, 1, 2
@@ -106,23 +108,36 @@ def profiles(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     first, so no task gets all words of a language.
     """
 
+    def summed_up(lang: str, shares: np.ndarray, documents: int, hashes: list[np.ndarray]) -> pa.RecordBatch:
+        ids, n = np.unique(np.concatenate(hashes), return_counts=True)
+        keys = np.concatenate([np.arange(9), ids.view(np.int64)])
+        values = np.concatenate([shares, [documents], n]).astype(float)
+        kind = np.concatenate([np.zeros(9, np.int32), np.ones(len(ids), np.int32)])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(keys), pa.string()), pa.array(kind), pa.array(keys), pa.array(values)], names=["lang", "kind", "key", "value"]
+        )
+
     def partial(batches):
-        for batch in W.chunks(batches, "text", 16 << 20):
+        held: dict[str, list] = {}
+        waiting = 0
+        for batch in W.chunks(batches, "text", CHUNK):
             texts = batch.column("text")
             _, counts, kinds = measure(texts, limits.repeat_window)
             use = ~base_failed(counts, limits)
             words, hashes = _lower_hashes(texts)
+            owner = words.text_of()
             langs = np.asarray(batch.column("lang").fill_null("").to_pylist(), object)
             for lang in set(langs[use]):
                 mine = use & (langs == lang)
-                shares = kinds[mine] / np.maximum(kinds[mine].sum(1, keepdims=True), 1)
-                ids, n = np.unique(hashes[mine[words.text_of()]], return_counts=True, sorted=False)
-                keys = np.concatenate([np.arange(9), ids.view(np.int64)])
-                values = np.concatenate([shares.sum(0), [mine.sum()], n]).astype(float)
-                kind = np.concatenate([np.zeros(9, np.int32), np.ones(len(ids), np.int32)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(keys), pa.string()), pa.array(kind), pa.array(keys), pa.array(values)], names=["lang", "kind", "key", "value"]
-                )
+                got = held.setdefault(lang, [np.zeros(8), 0, []])
+                got[0] += (kinds[mine] / np.maximum(kinds[mine].sum(1, keepdims=True), 1)).sum(0)
+                got[1] += int(mine.sum())
+                got[2].append(hashes[mine[owner]])
+                waiting += len(got[2][-1])
+            if waiting > WAITING:
+                yield from (summed_up(lang, *got) for lang, got in held.items())
+                held, waiting = {}, 0
+        yield from (summed_up(lang, *got) for lang, got in held.items())
 
     summed = docs.mapInArrow(partial, "lang string, kind int, key long, value double").groupBy("lang", "kind", "key").agg(F.sum("value").alias("value"))
     by_part = Window.partitionBy("lang", F.pmod("key", F.lit(64))).orderBy(F.desc("value"), "key")
@@ -179,7 +194,7 @@ def quality_rules(
     judge = _judge(_held(texts, limits), limits)
 
     def run(batches):
-        for batch in W.chunks(batches, "text", 16 << 20):
+        for batch in W.chunks(batches, "text", CHUNK):
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), **judge(batch.column("text"), batch.column("lang"))})
 
     return texts.mapInArrow(run, RESULT)
@@ -191,7 +206,7 @@ def keep_good(docs: DataFrame, limits: Limits = Limits(), text_col: str = "text"
     judge = _judge(_held(texts, limits), limits)
 
     def run(batches):
-        for batch in W.chunks(batches, text_col, 16 << 20):
+        for batch in W.chunks(batches, text_col, CHUNK):
             yield batch.filter(judge(batch.column(text_col), batch.column(lang_col))["kept"])
 
     return docs.mapInArrow(run, docs.schema)
