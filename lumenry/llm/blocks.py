@@ -96,29 +96,46 @@ def short(ordered: np.ndarray, shards: int) -> np.ndarray:
     return ((ordered - np.repeat(bounds(shards), np.diff(at))) >> np.uint64(shift)).astype(np.uint32)
 
 
+def packed(ordered: np.ndarray) -> bytes:
+    """Sorted 32-bit keys as differences: their low halves, then their high halves, which compress well."""
+    steps = np.diff(ordered, prepend=np.uint32(0))
+    return steps.astype("<u2").tobytes() + (steps >> np.uint32(16)).astype("<u2").tobytes()
+
+
+def unpacked(held: bytes) -> np.ndarray:
+    low, high = np.frombuffer(held, "<u2").reshape(2, -1).astype(np.uint32)
+    return np.cumsum(low + (high << np.uint32(16)), dtype=np.uint32)
+
+
 def asks(block: int, ordered: np.ndarray, keys: np.ndarray, shards: int, extra: np.ndarray | None = None, about: bytes = b"") -> pa.Table:
-    """One row for each shard that ``ordered`` (sorted hashes of a block) reaches: its slice of ``keys`` and ``extra``."""
+    """One row for each shard that ``ordered`` (sorted hashes of a block) reaches: its slice of ``keys`` and ``extra``.
+
+    32-bit keys are packed. ``extra`` has one value a key, or several rows of such values.
+    """
     at = cuts(ordered, shards)
     hit = np.flatnonzero(np.diff(at))
+    tight = keys.dtype == np.uint32
+    parts = [keys[at[k] : at[k + 1]] for k in hit]
     return pa.table(
         {
             "shard": pa.array(hit, pa.int32()),
             "block": pa.array(np.full(len(hit), block), pa.int64()),
-            "keys": pa.array([keys[at[k] : at[k + 1]].tobytes() for k in hit], pa.binary()),
-            "extra": pa.array([about + (b"" if extra is None else extra[at[k] : at[k + 1]].tobytes()) for k in hit], pa.binary()),
+            "keys": pa.array([packed(x) if tight else x.tobytes() for x in parts], pa.binary()),
+            "extra": pa.array([about + (b"" if extra is None else extra[..., at[k] : at[k + 1]].tobytes()) for k in hit], pa.binary()),
         }
     )
 
 
-def replies(answers: pa.Table, round_: int, kind: str) -> np.ndarray:
-    """The answers to a block's asks of one round, in the order of its sorted hashes. kind: bits, or a dtype."""
+def replies(answers: pa.Table, round_: int, kind: str, rows: int = 1) -> np.ndarray:
+    """The answers to a block's asks of one round, in the order of its sorted hashes. kind: bits, or a dtype, in ``rows`` rows."""
     mine = answers.filter(pc.equal(answers["round"], round_)).sort_by("shard")
     parts = [np.frombuffer(x, np.uint8) for x in mine["reply"].to_pylist()]
     if kind == "bits":  # the first byte tells how many bits of the last byte are padding
         parts = [np.unpackbits(x[1:])[: 8 * (len(x) - 1) - int(x[0])] for x in parts]
-    else:
-        parts = [x.view(kind) for x in parts]
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint8 if kind == "bits" else kind)
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+    parts = [x.view(kind).reshape(rows, -1) for x in parts]
+    out = np.concatenate(parts, 1) if parts else np.zeros((rows, 0), kind)
+    return out if rows > 1 else out[0]
 
 
 def as_bits(flags: np.ndarray) -> bytes:
@@ -138,7 +155,7 @@ def answer(asked: DataFrame, round_: int, reply: Callable[[list[bytes], list[byt
 
 def repeated(keys: list[bytes], _: list[bytes]) -> list[bytes]:
     """Bits: whether another block asked for the same 32-bit key."""
-    parts = [np.frombuffer(k, np.uint32) for k in keys]
+    parts = [unpacked(k) for k in keys]
     sizes = np.array([len(p) for p in parts])
     held = np.concatenate(parts)
     order = np.argsort(held, kind="stable")

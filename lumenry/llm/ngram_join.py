@@ -54,7 +54,7 @@ class _Sets:
 
 def _add_up(keys: list[bytes], held: list[bytes]) -> list[bytes]:
     """How many texts of all blocks hold each key."""
-    parts = [np.frombuffer(k, np.uint32) for k in keys]
+    parts = [B.unpacked(k) for k in keys]
     all_keys, counts = np.concatenate(parts), np.concatenate([np.frombuffer(x, np.uint32) for x in held])
     order = np.argsort(all_keys, kind="stable")
     first = np.flatnonzero(np.concatenate([[True], all_keys[order][1:] != all_keys[order][:-1]]))

@@ -10,6 +10,7 @@ from .html_text import html_text
 from .license_scan import license_scan
 from .mixing import mix_sources
 from .ngram_join import ngram_join
+from .perplexity import quality_classifier
 from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
 from .topk import top_k
@@ -35,6 +36,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text(_table(spark, sf_dir, "pages"))
 
@@ -74,6 +79,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_html_text": op4_html_text,
     "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
