@@ -17,6 +17,8 @@ from ..operators import periods as S
 from ..operators import posts as P
 from ..operators import publish as R
 from ..operators import report as Q
+from ..operators import sales as L
+from ..sources import sinks as W
 from ..sources import state as K
 from ..streaming import sync as Y
 from .synth import posts, schedule, table
@@ -387,3 +389,87 @@ def stream_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = Y.sync(stream, f"{where}/checkpoint", lambda df, n: df.write.mode("overwrite").parquet(f"{where}/state/batch={n}"))
     query.awaitTermination()
     return G.latest_fields(spark.read.parquet(f"{where}/state"), "user_id", ["ts"], ["event_type"]).select("user_id", "n_updates", "event_type")
+
+
+_SALES = """(SELECT l_orderkey AS event_id, CASE l_returnflag WHEN 'A' THEN '抽選' WHEN 'N' THEN '一般' ELSE '当日券' END AS sale_type, l_linestatus AS ticket_name,
+ CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_shipdate AS DATE) END AS deadline_at, CASE WHEN l_quantity > 10 THEN CAST(l_quantity AS INTEGER) END AS price,
+ CASE WHEN l_quantity < 25 THEN 'on_sale' ELSE '不明' END AS status, CASE l_linenumber % 3 WHEN 0 THEN '一般' WHEN 1 THEN '優先' ELSE '不明' END AS ticket_tier, l_linenumber AS n, l_partkey AS p FROM lineitem) x"""
+
+
+def _sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("l_returnflag") == "A", "抽選").when(F.col("l_returnflag") == "N", "一般").otherwise("当日券")
+    tier = F.element_at(F.array(F.lit("一般"), F.lit("優先"), F.lit("不明")), F.col("l_linenumber") % 3 + 1)
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("event_id"), kind.alias("sale_type"), F.col("l_linestatus").alias("ticket_name"), F.lit(None).cast("date").alias("start_at"),
+        F.when(F.col("l_linenumber") % 2 == 0, F.to_date("l_shipdate")).alias("deadline_at"), F.when(F.col("l_quantity") > 10, F.col("l_quantity").cast("int")).alias("price"),
+        F.when(F.col("l_quantity") < 25, "on_sale").otherwise("不明").alias("status"), tier.alias("ticket_tier"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"),
+    )
+
+
+@_query(f"""SELECT event_id, sale_type, ticket_name, deadline_at, arg_max(price, (n, p, price)) FILTER (WHERE price IS NOT NULL) AS price,
+ CASE WHEN count(*) FILTER (WHERE status <> '不明') > 0 THEN 'on_sale' END AS status, count(*) AS n_posts FROM {_SALES} GROUP BY 1, 2, 3, 4""")
+def period_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order as posts about sale periods, in order of line and part."""
+    return L.upserted_periods(_sales(spark, sf_dir), "event_id", ["n", "p"], ["price", "status"]).drop("start_at")
+
+
+@_query(f"""SELECT event_id, ticket_tier, count(*) AS n, max(coalesce(price, twin_price)) AS price FROM (SELECT *, max(CASE WHEN deadline_at IS NULL THEN price END) OVER w AS twin_price,
+ max(CASE WHEN deadline_at IS NOT NULL THEN 1 ELSE 0 END) OVER w AS twin FROM {_SALES} WINDOW w AS (PARTITION BY event_id, ticket_tier)) WHERE deadline_at IS NOT NULL OR twin = 0 GROUP BY 1, 2""")
+def period_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = L.without_dateless_twins(_sales(spark, sf_dir), "event_id")
+    return out.groupBy("event_id", "ticket_tier").agg(F.count("*").alias("n"), F.max("price").alias("price"))
+
+
+@_query(f"""SELECT event_id, sale_type, deadline_at FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY CASE sale_type WHEN '抽選' THEN 1 WHEN '一般' THEN 2 ELSE 4 END, deadline_at NULLS LAST) AS r FROM {_SALES}) WHERE r = 1""")
+def selected_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.selected_period(_sales(spark, sf_dir), "event_id").select("event_id", "sale_type", "deadline_at")
+
+
+@_query(f"""SELECT event_id, count(*) AS n, min(CASE WHEN deadline_at >= DATE '{TODAY}' THEN deadline_at END) AS next_deadline, CAST(max(CASE WHEN deadline_at >= DATE '{TODAY}' THEN 1 ELSE 0 END) AS BIGINT) AS n_next,
+ count(*) FILTER (WHERE status = 'on_sale') AS n_on_sale FROM {_SALES} GROUP BY 1""")
+def next_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = L.with_next_flag(_sales(spark, sf_dir), "event_id", _today())
+    return out.groupBy("event_id").agg(
+        F.count("*").alias("n"), F.min(F.when(F.col("is_next_deadline"), F.col("deadline_at"))).alias("next_deadline"), F.count_if("is_next_deadline").alias("n_next"), F.count_if(F.col("status_label") == "販売中").alias("n_on_sale")
+    )
+
+
+@_query(f"""SELECT event_id, ticket_tier, count(*) AS n, sum(price) AS prices FROM (
+ SELECT event_id, ticket_tier, price FROM {_SALES} WHERE NOT (ticket_tier = '不明' AND deadline_at IS NOT NULL) UNION ALL
+ SELECT a.event_id, coalesce(t.ticket_tier, a.ticket_tier), coalesce(t.price, a.price) FROM (SELECT * FROM {_SALES} WHERE ticket_tier = '不明' AND deadline_at IS NOT NULL) a
+ LEFT JOIN (SELECT event_id, ticket_tier, min(price) AS price FROM {_SALES} WHERE ticket_tier <> '不明' AND price IS NOT NULL GROUP BY 1, 2) t ON t.event_id = a.event_id) GROUP BY 1, 2""")
+def tier_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sales = _sales(spark, sf_dir)
+    tickets = sales.filter("ticket_tier <> '不明' and price is not null").groupBy("event_id", "ticket_tier").agg(F.min("price").alias("price"))
+    return L.tier_expanded(sales, tickets, "event_id").groupBy("event_id", "ticket_tier").agg(F.count("*").alias("n"), F.sum("price").alias("prices"))
+
+
+@_query(f"""SELECT event_id, min(CASE WHEN ticket_tier = '一般' THEN price END) AS general_price, min(CASE WHEN ticket_tier = '優先' THEN price END) AS priority_price FROM {_SALES} GROUP BY 1""")
+def best_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.best_prices(_sales(spark, sf_dir), "event_id")
+
+
+@_query("""SELECT coalesce(o.k, n.k) AS k, coalesce(manual, false) AS manual, CASE WHEN n.k IS NULL OR manual THEN o.name ELSE n.name END AS name, CASE WHEN n.k IS NULL THEN o.bal ELSE n.bal END AS bal
+ FROM (SELECT c_custkey AS k, c_name AS name, c_acctbal AS bal, c_custkey % 4 = 0 AS manual FROM customer) o
+ FULL JOIN (SELECT s_suppkey + 10 AS k, s_name AS name, s_acctbal AS bal FROM supplier) n ON o.k = n.k""")
+def sheet_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("bal"), (F.col("c_custkey") % 4 == 0).alias("manual"))
+    new = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 10).alias("k"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("bal"))
+    return W.sheet_upsert(old, new, ["k"], ["name"])
+
+
+@_query("""SELECT p_partkey, CASE WHEN length(p_name || ' ' || p_type) > 12 THEN substr(p_name || ' ' || p_type, 1, 11) || '…' ELSE p_name || ' ' || p_type END AS short,
+ length(p_name) + CASE WHEN p_name LIKE '% %' THEN 3 ELSE 0 END AS richness,
+ '{"name":{"title":[{"text":{"content":"' || p_name || '"}}]},"brand":{"select":{"name":"' || CASE WHEN p_brand IN ('Brand#1', 'Brand#2') THEN p_brand ELSE 'Brand#1' END || '"}},"size":{"number":' || p_size || '}}' AS properties FROM part""")
+def display_and_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shortened labels, richness of names and the typed properties that a document store takes."""
+    df = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), "p_type")
+    payload = W.properties(df, {"name": "title", "brand": "select", "size": "number"}, {"brand": ["Brand#1", "Brand#2"]})
+    return df.select("p_partkey", W.shortened(F.concat_ws(" ", "name", "p_type")).alias("short"), W.name_richness(F.col("name")).alias("richness"), payload.alias("properties"))
+
+
+@_query("SELECT quality = 1 AS expected, length(text) > 500 AS actual, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2")
+def labelled_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected against actual: a confusion table of a length rule and the quality labels."""
+    both = table(spark, sf_dir, "documents").select("doc_id", (F.length("text") > 500).alias("actual")).join(table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("expected")), "doc_id")
+    return both.groupBy("expected", "actual").agg(F.count("*").alias("n"))
