@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 ZONE = "Asia/Tokyo"
 MOST_DAYS = 14
 #: Forms of a date, in the order in which they are tried.
@@ -23,56 +25,72 @@ def local_date(at: Column) -> Column:
 
 
 def day_of(year: Column, month: Column, day: Column) -> Column:
-    """A date, or null where there is no such day."""
-    return F.try_to_date(F.concat_ws("-", year.cast("string"), month.cast("string"), day.cast("string")), "y-M-d")
+    """A date, or null where there is no such day. The arguments should be plain columns or bound by ``let``."""
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    longest = F.when(month.isin(4, 6, 9, 11), 30).when(month != 2, 31).when(leap, 29).otherwise(28)
+    return F.when(month.between(1, 12) & (day >= 1) & (day <= longest), F.make_date(year, month, day))
 
 
 def infer_year(month: Column, day: Column, posted: Column) -> Column:
     """The day in the year of posting, or in the next one if that is over 30 days before it."""
-    this = day_of(F.year(posted), month, day)
-    return F.when(this < F.date_sub(posted, 30), day_of(F.year(posted) + 1, month, day)).otherwise(this)
+    def of(d: Column) -> Column:
+        this = day_of(d["y"], d["m"], d["d"])
+        return let(this, lambda t: F.when(t < d["least"], day_of(d["y"] + 1, d["m"], d["d"])).otherwise(t))
+
+    return let(F.struct(F.year(posted).alias("y"), month.alias("m"), day.alias("d"), F.date_sub(posted, 30).alias("least")), of)
 
 
 def _number(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract(text, pattern, group).try_cast("int")
 
 
+def _full(text: Column) -> Column:
+    parts = F.struct(*[_number(text, FULL, k).alias(f"p{k}") for k in (1, 2, 3)])
+    return let(parts, lambda p: day_of(p["p1"], p["p2"], p["p3"]))
+
+
 def event_date(text: Column, posted: Column) -> Column:
     """The first date that a text names, by the order of FULL and FORMS."""
-    full = day_of(*[_number(text, FULL, k) for k in (1, 2, 3)])
-    return F.coalesce(full, *[infer_year(_number(text, f, 1), _number(text, f, 2), posted) for f in FORMS])
+    return F.coalesce(_full(text), *[infer_year(_number(text, f, 1), _number(text, f, 2), posted) for f in FORMS])
 
 
 def event_dates(text: Column, posted: Column) -> Column:
     """All dates of a text: full dates, ranges of up to MOST_DAYS days, lists of days, single days; each once."""
-    rest = F.regexp_replace(text, r"https?://\S+", "")
-    full = F.transform(F.regexp_extract_all(rest, F.lit(FULL), F.lit(0)), lambda x: day_of(*[_number(x, FULL, k) for k in (1, 2, 3)]))
-    rest = F.regexp_replace(rest, FULL, " ")
-
-    def ranged(x: Column) -> Column:
-        first = infer_year(_number(x, RANGE, 1), _number(x, RANGE, 2), posted)
-        month = F.coalesce(_number(x, RANGE, 3), _number(x, RANGE, 1))
-        same = day_of(F.year(first), month, _number(x, RANGE, 4))
-        last = F.when(same < first, day_of(F.year(first) + 1, month, _number(x, RANGE, 4))).otherwise(same)
-        fits = F.datediff(last, first).between(0, MOST_DAYS)
-        return F.when(fits, F.sequence(first, F.when(fits, last).otherwise(first))).otherwise(F.array(first))
-
-    ranges = F.flatten(F.transform(F.regexp_extract_all(rest, F.lit(RANGE), F.lit(0)), ranged))
-    rest = F.regexp_replace(rest, RANGE, " ")
-
-    def listed(x: Column) -> Column:
-        month = _number(x, LIST, 1)
-        days = F.concat(F.array(F.regexp_extract(x, LIST, 2)), F.regexp_extract_all(F.regexp_replace(F.regexp_extract(x, LIST, 3), r"[（(][^）)]*[）)]", ""), F.lit(r"\d{1,2}"), F.lit(0)))
-        return F.transform(days, lambda d: infer_year(month, d.try_cast("int"), posted))
-
-    lists = F.flatten(F.transform(F.regexp_extract_all(rest, F.lit(LIST), F.lit(0)), listed))
-    rest = F.regexp_replace(rest, LIST, " ")
-
-    def singly(form: str) -> Column:
-        return F.transform(F.regexp_extract_all(rest, F.lit(form), F.lit(0)), lambda x: infer_year(_number(x, form, 1), _number(x, form, 2), posted))
-
-    single = [singly(f) for f in FORMS]
-    return F.array_distinct(F.array_compact(F.concat(full, ranges, lists, *single)))
+    def of(rest: Column) -> Column:
+        full = F.transform(F.regexp_extract_all(rest, F.lit(FULL), F.lit(0)), lambda x: _full(x))
+        rest = F.regexp_replace(rest, FULL, " ")
+
+        def ranged(x: Column) -> Column:
+            first = infer_year(_number(x, RANGE, 1), _number(x, RANGE, 2), posted)
+            parts = F.struct(first.alias("first"), F.coalesce(_number(x, RANGE, 3), _number(x, RANGE, 1)).alias("m"), _number(x, RANGE, 4).alias("d"))
+
+            def last(p: Column) -> Column:
+                same = day_of(F.year(p["first"]), p["m"], p["d"])
+                return F.struct(p["first"].alias("first"), let(same, lambda t: F.when(t < p["first"], day_of(F.year(p["first"]) + 1, p["m"], p["d"])).otherwise(t)).alias("last"))
+
+            def days(p: Column) -> Column:
+                return F.when(F.datediff(p["last"], p["first"]).between(0, MOST_DAYS), F.sequence(p["first"], p["last"])).otherwise(F.array(p["first"]))
+
+            return let(let(parts, last), days)
+
+        ranges = F.flatten(F.transform(F.regexp_extract_all(rest, F.lit(RANGE), F.lit(0)), ranged))
+        rest = F.regexp_replace(rest, RANGE, " ")
+
+        def listed(x: Column) -> Column:
+            month = _number(x, LIST, 1)
+            days = F.concat(F.array(F.regexp_extract(x, LIST, 2)), F.regexp_extract_all(F.regexp_replace(F.regexp_extract(x, LIST, 3), r"[（(][^）)]*[）)]", ""), F.lit(r"\d{1,2}"), F.lit(0)))
+            return F.transform(days, lambda d: infer_year(month, d.try_cast("int"), posted))
+
+        lists = F.flatten(F.transform(F.regexp_extract_all(rest, F.lit(LIST), F.lit(0)), listed))
+        rest = F.regexp_replace(rest, LIST, " ")
+
+        def singly(form: str) -> Column:
+            return F.transform(F.regexp_extract_all(rest, F.lit(form), F.lit(0)), lambda x: infer_year(_number(x, form, 1), _number(x, form, 2), posted))
+
+        single = [singly(f) for f in FORMS]
+        return F.array_distinct(F.array_compact(F.concat(full, ranges, lists, *single)))
+
+    return let(F.regexp_replace(text, r"https?://\S+", ""), of)
 
 
 def weekday_label(day: Column) -> Column:
