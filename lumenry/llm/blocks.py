@@ -24,6 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import LongType, StructField, StructType
 
+from .words import small_batches
+
 BLOCK_BYTES = 6 << 20
 ASK = "shard int, block long, keys binary, extra binary"
 ANSWER = "block long, round int, shard int, reply binary"
@@ -65,7 +67,7 @@ def write_blocks(texts: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
     The numbers come from where a row was read, once: afterwards the table is what holds.
     """
-    spark = texts.sparkSession
+    spark = small_batches(texts).sparkSession
     name, path = f"lumenry_{uuid.uuid4().hex}", shared_folder(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tagged = texts.mapInArrow(_tagger(block_bytes), StructType([StructField("block", LongType()), *texts.schema.fields]))

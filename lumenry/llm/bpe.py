@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from . import words as W
 
 HELD_WORDS = 120_000  # words whose encoding a task keeps; beyond, it starts anew
+CHUNK = 6 << 20  # bytes of text whose new words are merged together
 RESULT = "doc_id long, ids array<int>, decoded string"
 # \x1c-\x1f count as white space for str.split, but not in the Unicode property
 _SPLIT_BY_HAND = regex.compile("[\x1c-\x1f]")
@@ -213,7 +214,7 @@ def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches):
         encoder = _Encoder(vocabulary(sent.value))
-        for batch in W.chunks(batches, "text", 4 << 20):
+        for batch in W.chunks(batches, "text", CHUNK):
             texts = [encoder.split(x) for x in batch.column("text").to_pylist()]
             encoder.learn({w for x in texts for w in x})
             ids, shown = encoder.ids.__getitem__, encoder.shown.__getitem__
@@ -225,7 +226,7 @@ def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
                 names=["doc_id", "ids", "decoded"],
             )
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = W.small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return texts.mapInArrow(run, RESULT)
 
 

@@ -356,4 +356,4 @@ def html_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
         for batch in W.chunks(batches, "html", 8 << 20):
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array([text_of(x) for x in batch.column("html").to_pylist()], pa.string())], names=["page_id", "text"])
 
-    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, "page_id long, text string")
+    return W.small_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, "page_id long, text string")

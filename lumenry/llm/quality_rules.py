@@ -188,7 +188,7 @@ def quality_rules(
     own. Repeated rows are judged alike; an empty table gives an empty result; other
     columns are not read. Whole texts count, of any length.
     """
-    texts = docs.select(
+    texts = W.small_batches(docs).select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")
     )
     judge = _judge(_held(texts, limits), limits)
@@ -202,7 +202,7 @@ def quality_rules(
 
 def keep_good(docs: DataFrame, limits: Limits = Limits(), text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs``, as they are, that ``quality_rules`` keeps; judged in the same pass that reads them."""
-    texts = docs.select(F.lit(0).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    texts = W.small_batches(docs).select(F.lit(0).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     judge = _judge(_held(texts, limits), limits)
 
     def run(batches):

@@ -186,7 +186,7 @@ def toxicity(
     out. Where a class has too few labelled texts to fit, every score is 0. Repeated rows
     get equal scores; an empty table gives an empty result; other columns aren't read.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = W.small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     model = train(*sample(texts, labels, sample_rows))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

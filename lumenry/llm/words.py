@@ -11,7 +11,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -166,13 +168,31 @@ def joined(words: Words, keep: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes()))
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; from here on its session sends Arrow batches of ``BATCH_ROWS`` rows and about ``BATCH_BYTES`` at most.
+
+    The usual 10,000 texts of a few KB take tens of MB outside the heap, twice, in each
+    running task.
+    """
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def chunks(batches, column: str, limit: int = 4 << 20):
-    """Slices of record batches whose texts hold about ``limit`` bytes, one row at least."""
+    """The rows of record batches anew, in batches that end with the text that brings them to ``limit`` bytes."""
+    held, size = [], 0
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        if not len(sizes):
+        if not batch.num_rows:
             continue
-        part = np.cumsum(sizes) // limit
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(sizes)]])
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            yield batch.slice(a, b - a)
+        total = size + np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        begin = 0
+        while (end := int(np.searchsorted(total, limit)) + 1) <= len(total):
+            yield pa.concat_batches([*held, batch.slice(begin, end - begin)])
+            held, begin, total = [], end, total - total[end - 1]
+        if begin < len(total):
+            held.append(batch.slice(begin))
+        size = int(total[-1])
+    if held:
+        yield pa.concat_batches(held)
