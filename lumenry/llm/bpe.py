@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from . import words as W
 
-HELD_WORDS = 120_000  # words whose encoding a task keeps; beyond, it starts anew
-CHUNK = 6 << 20  # bytes of text whose new words are merged together
+HELD_WORDS = 200_000  # words whose encoding a task keeps; beyond, it starts anew
+CHUNK = 8 << 20  # bytes of text whose new words are merged together
 RESULT = "doc_id long, ids array<int>, decoded string"
 # \x1c-\x1f count as white space for str.split, but not in the Unicode property
 _SPLIT_BY_HAND = regex.compile("[\x1c-\x1f]")
@@ -139,16 +139,16 @@ class _Symbols:
             self.before[after[after >= 0]] = at[after >= 0]
             self._enter(np.unique(np.concatenate([self.before[at], at])))
 
-    def encoded(self) -> list[np.ndarray]:
+    def encoded(self) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, word after word, and where each word's end."""
         alive = self.symbol >= 0
-        counts = np.add.reduceat(alive.astype(np.int64), self.ends - self.sizes)
-        return np.split(self.symbol[alive].astype(np.int32), np.cumsum(counts)[:-1])
+        return self.symbol[alive].astype("<i4"), np.cumsum(alive)[self.ends - 1]
 
 
-def encode_words(words: list[bytes], v: Vocabulary) -> list[np.ndarray]:
-    """Ids of each pre-token (not empty)."""
+def encode_words(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all pre-tokens (none empty), one after another, and where each one's end."""
     if not words:
-        return []
+        return np.zeros(0, "<i4"), np.zeros(0, np.int64)
     symbols = _Symbols(words, v)
     symbols.merge_all()
     return symbols.encoded()
@@ -161,9 +161,11 @@ def _lowered(text: str) -> str:
 
 def pieces(raw: str, v: Vocabulary) -> list[str | int]:
     """Pre-tokens of a text, and the ids of special tokens that stand in it."""
+    if not (v.special_pattern and v.special_pattern.search(raw)):
+        return v.pattern.findall(raw.lower() if raw.isascii() else _lowered(raw))
     out: list[str | int] = []
     at = 0
-    for m in v.special_pattern.finditer(raw) if v.special_pattern else ():
+    for m in v.special_pattern.finditer(raw):
         out += v.pattern.findall(_lowered(raw[at : m.start()]))
         out.append(v.special[m[0]])
         at = m.end()
@@ -189,11 +191,19 @@ class _Encoder:
             self.shown.clear()
         parts = {w: pieces(w, self.v) for w in words - self.ids.keys()}
         fresh = list({p for x in parts.values() for p in x if isinstance(p, str)})
-        coded = dict(zip(fresh, encode_words([p.encode() for p in fresh], self.v), strict=True))
+        ids, ends = encode_words([p.encode() for p in fresh], self.v)
+        held, names = ids.tobytes(), [self.v.tokens[k] for k in ids.tolist()]
+        coded: dict[str | int, bytes] = {k: k.to_bytes(4, "little") for k in self.v.special.values()}
+        shown: dict[str | int, str] = {k: name for name, k in self.v.special.items()}
+        a = 0
+        for piece, b in zip(fresh, ends.tolist(), strict=True):
+            coded[piece], shown[piece] = held[4 * a : 4 * b], " ".join(names[a:b])
+            a = b
         for w, x in parts.items():
-            ids = np.concatenate([np.zeros(0, np.int32), *(coded[p] if isinstance(p, str) else np.array([p], np.int32) for p in x)])
-            self.ids[w] = ids.astype(np.int32).tobytes()
-            self.shown[w] = decoded(ids, self.v)
+            if len(x) == 1:
+                self.ids[w], self.shown[w] = coded[x[0]], shown[x[0]]
+            else:
+                self.ids[w], self.shown[w] = b"".join([coded[p] for p in x]), " ".join([shown[p] for p in x])
 
 
 def decoded(ids, v: Vocabulary) -> str:
@@ -216,7 +226,7 @@ def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
         encoder = _Encoder(vocabulary(sent.value))
         for batch in W.chunks(batches, "text", CHUNK):
             texts = [encoder.split(x) for x in batch.column("text").to_pylist()]
-            encoder.learn({w for x in texts for w in x})
+            encoder.learn(set().union(*texts))
             ids, shown = encoder.ids.__getitem__, encoder.shown.__getitem__
             held = [b"".join(map(ids, x)) for x in texts]
             offsets = np.cumsum([0] + [len(x) // 4 for x in held]).astype(np.int32)
