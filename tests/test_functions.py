@@ -2,12 +2,15 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
+from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
 from lumenry.functions import dates as D
 from lumenry.functions import text as T
 from lumenry.operators import extract as X
+from lumenry.operators import match as M
 from lumenry.operators import merge as G
 from lumenry.operators import publish as R
 from lumenry.sources import state as K
@@ -95,3 +98,48 @@ def test_posts_of_all_shapes(spark, tmp_path):
 def test_secrets_are_scrubbed(spark):
     df = spark.sql("SELECT 1 AS a, named_struct('access_token', 'x', 'b', 2) AS s, 'y' AS bearer")
     assert df.select(*K.scrubbed(df.schema)).first().asDict(recursive=True) == {"a": 1, "s": {"b": 2}}
+
+
+def test_pieces_of_near_keys_meet():
+    draw = random.Random(3)
+    near = 0
+    for _ in range(20000):
+        a = "".join(draw.choices("abcd", k=draw.randint(1, 40)))
+        b = list(a)
+        for _ in range(draw.randint(0, 4)):
+            k = draw.randrange(len(b) + 1)
+            b[k : k + draw.randint(0, 1)] = draw.choices("abcd", k=draw.randint(0, 1))
+        b = "".join(b)
+        if b and SequenceMatcher(None, a, b).ratio() >= 0.92:
+            near += a != b
+            offered = {b[x:y] for x, y in M._parts(len(b))}
+            sizes = {y - x for n in range(-(-len(a) * 23 // 27), len(a) * 27 // 23 + 1) for x, y in M._parts(n)}
+            assert offered & {a[k : k + s] for s in sizes for k in range(len(a) - s + 1)}
+    assert near > 1000
+
+
+def test_best_match_is_that_of_all_pairs(spark):
+    draw = random.Random(5)
+    names = ["summer night festival", "summer night festivals", "summer nite festival", "winter acoustic evening", "winter acoustic evenin", "abc live", "abc live!x"]
+    venues = ["shibuya hall one", "shibuya hall on", "shibuya hall two x", "namba club", "namba club b", ""]
+    fields = "event_name string, venue string, ticket_url string, event_date date, event_dates array<date>, open_time string, start_time string"
+
+    def row(dated):
+        day = dt.date(2024, 5, draw.randint(1, 28)) if dated else None
+        return (draw.choice(names), draw.choice(venues), draw.choice([None, None, f"https://x.y/{draw.randint(1, 9)}"]), day, None, None, None)
+
+    posts = [(f"p{k}", draw.choice(["sold_out", "ticket_update", "initial_announcement"]), *row(k % 3 == 0)) for k in range(60)]
+    posts.append(("p60", "ticket_update", "nothing in common", "elsewhere", None, None, None, None, None))
+    events = [(k, ["p60"] if k == 7 else None, *row(k % 4 != 0)) for k in range(60)]
+    p = spark.createDataFrame(posts, f"post_id string, source_kind string, {fields}")
+    e = spark.createDataFrame(events, f"event_id long, post_ids array<string>, {fields}")
+    left, right = M.keyed(p), M.keyed(e)
+    every = left.select([F.col(c).alias("a_" + c) for c in left.columns]).crossJoin(right.select([F.col(c).alias("b_" + c) for c in right.columns]))
+    same = F.coalesce(F.array_contains("b_post_ids", F.col("a_post_id")), F.lit(False))
+    scores = every.select("a_post_id", "b_event_id", M.match_score("a_", "b_", F.col("a_source_kind"), same).alias("score")).collect()
+    best = {}
+    for r in scores:
+        if r.score >= 0.45:
+            best[r.a_post_id] = min(best.get(r.a_post_id, (0, 0)), (-r.score, r.b_event_id))
+    got = {r.post_id: (-r.score, r.event_id) for r in M.best_match(p, e).collect() if r.score >= 0.45}
+    assert got == best and got["p60"] == (-1.0, 7) and len(got) > 20
