@@ -27,7 +27,7 @@ from . import words as W
 WINDOW = 16  # words
 DICTIONARY_BYTES = 110 << 10
 LEAST_MATCH = 5  # bytes; shorter matches are chance
-SAMPLE = 5000  # labelled texts of each class that the driver reads at most, of SAMPLE_BYTES each at most on average
+SAMPLE = 5000  # labelled texts of each class that the driver reads at most, of SAMPLE_BYTES each on average at most
 SAMPLE_BYTES = 4 << 10
 _WORD = re.compile(r"\w+")
 
@@ -160,18 +160,25 @@ def held_out(id_col) -> F.Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[str], float]:
-    """Toxic and ordinary texts of labelled rows that aren't held out, at most ``sample`` of each, by a hash of the id; and the odds.
+    """Whole toxic and ordinary texts of labelled rows that aren't held out, by a hash of the id; and the odds.
 
-    Their first SAMPLE_BYTES characters are what the fit learns from; scoring reads whole texts.
+    At most ``sample`` rows of each class, and no more after the one that brings a class to
+    ``sample`` * SAMPLE_BYTES characters: long texts make the sample smaller, not shorter.
     """
     known = labels.filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    out = []
-    for toxic in (1, 0):
-        first = known.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample)
-        rows = docs.join(F.broadcast(first.select("doc_id")), "doc_id").filter("text is not null").select("doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text"))
-        out.append([r.text for r in sorted(rows.collect(), key=lambda r: (hash((r.doc_id, 3)), r.doc_id))])
+    first = [known.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample) for toxic in (1, 0)]
+    chosen = F.broadcast(first[0].unionByName(first[1]))
+    held = docs.join(chosen, "doc_id").filter("text is not null")
+    sizes = held.groupBy("toxic", "doc_id").agg(F.sum(F.length("text")).alias("size"), F.xxhash64("doc_id", F.lit(3)).alias("place")).collect()
+    total, ids = {1: 0, 0: 0}, []
+    for r in sorted(sizes, key=lambda r: (r.place, r.doc_id)):
+        if total[r.toxic] < sample * SAMPLE_BYTES:
+            total[r.toxic] += r["size"]
+            ids.append((r.doc_id, r.toxic))
+    taken = F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, toxic long"))
+    rows = sorted(docs.join(taken, "doc_id").filter("text is not null").select("doc_id", "toxic", "text").collect(), key=lambda r: (hash((r.doc_id, 3)), r.doc_id, r.text))
     n = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
-    return out[0], out[1], max(1, n.get(1, 0)) / max(1, n.get(0, 0))
+    return [r.text for r in rows if r.toxic == 1], [r.text for r in rows if r.toxic == 0], max(1, n.get(1, 0)) / max(1, n.get(0, 0))
 
 
 def toxicity(
@@ -180,8 +187,8 @@ def toxicity(
     """doc_id, held_out, score (0 to 1) and predicted (score >= 0.5) of each text, one row for each input row.
 
     ``labels`` has doc_id and toxic (0 or 1, nulls are no label). The model is fitted on at
-    most ``sample_rows`` labelled texts of each class, none of them held out (the CRC-32
-    of the id's digits divides by five); all that scores is the text. Whole texts are
+    most ``sample_rows`` labelled texts of each class, whole, none of them held out (the
+    CRC-32 of the id's digits divides by five); all that scores is the text. Whole texts are
     scored. Null and empty texts get the score of an empty window; a null id isn't held
     out. Where a class has too few labelled texts to fit, every score is 0. Repeated rows
     get equal scores; an empty table gives an empty result; other columns aren't read.
