@@ -105,24 +105,46 @@ def align(text: np.ndarray, template: np.ndarray, start: int, band: int) -> tupl
 
 
 def matches(text: np.ndarray, at: np.ndarray, template: np.ndarray, position: np.ndarray, index: Index, least: float):
-    """(template, matched, start, end) in one document's words, from its hits; of overlapping ones of a template, the best."""
+    """(template, matched, start, end) in one document's words, from its hits; of overlapping ones of a template, the best.
+
+    Exact places are taken first. Hits outside of them are grouped and aligned again, on
+    the words that no place has taken, until each hit is in a place or its diagonal failed.
+    """
     for k in np.unique(template):
         words = index.words[k]
-        band = max(4, len(words) // 8)
-        starts = np.sort((at - position)[template == k])
-        groups = np.split(starts, np.flatnonzero(np.diff(starts) > band) + 1)
-        found = []
-        for group in groups:
-            start = int(group[len(group) // 2])
-            if 0 <= start <= len(text) - len(words) and (text[start : start + len(words)] == words).all():
-                found.append((len(words), start, start + len(words)))
-            else:
-                found.append(align(text, words, start, band))
+        m, band = len(words), max(4, len(words) // 8)
+        mine = template == k
+        hits, starts = at[mine], (at - position)[mine]
         taken: list[tuple[int, int]] = []
-        for matched, first, end in sorted(found, key=lambda x: (-x[0], x[1])):
-            if matched >= least * len(words) and all(end <= a or first >= b for a, b in taken):
-                taken.append((first, end))
-                yield k, matched, first, end
+        free = np.isin(text, words)  # words that may match and that no place has taken
+        for start in np.unique(starts):
+            if 0 <= start <= len(text) - m and (not taken or start >= taken[-1][1]) and (text[start : start + m] == words).all():
+                taken.append((int(start), int(start) + m))
+                free[start : start + m] = False
+                yield k, m, int(start), int(start) + m
+        left = free[hits]
+        hits, starts = hits[left], starts[left]
+        masked = None
+        while len(hits):
+            sums = np.concatenate([[0], np.cumsum(free)])
+            low, high = np.clip(starts - band, 0, len(text)), np.clip(starts + m + band, 0, len(text))
+            may = sums[high] - sums[low] >= least * m
+            hits, starts = hits[may], starts[may]
+            if not len(hits):
+                break
+            if masked is None:
+                masked, none = text.copy(), np.setdiff1d(np.arange(m + 1, dtype=text.dtype), words)[0]
+            masked[~free] = none
+            order = np.sort(starts)
+            tried = np.array([group[len(group) // 2] for group in np.split(order, np.flatnonzero(np.diff(order) > band) + 1)])
+            found = [align(masked, words, int(start), band) for start in tried]
+            for matched, first, end in sorted(found, key=lambda x: (-x[0], x[1])):
+                if matched >= least * m and all(end <= a or first >= b for a, b in taken):
+                    taken.append((first, end))
+                    free[first:end] = False
+                    yield k, matched, first, end
+            left = free[hits] & ~np.isin(starts, tried)
+            hits, starts = hits[left], starts[left]
 
 
 def license_scan(
