@@ -222,10 +222,9 @@ def ngram_join(
     sets = B.written(held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_ordered_sets(n, percent), _SETS))
     key = ["n_shingles", "k1", "k2"]
     may = sets.filter("ngrams is not null")
-    equal = may.groupBy(*key).agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
-    rows = B.written(
-        equal.join(may.select(F.col("doc_id").alias("node"), *key, "singles", "ngrams"), ["node", *key]).dropDuplicates(["node"])
-    )
+    equal = may.groupBy(*key).agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
+    one = equal.join(may.select(F.col("doc_id").alias("least_id"), *key, "singles", "ngrams"), ["least_id", *key]).dropDuplicates(key)
+    rows = B.written(one.withColumn("node", F.monotonically_increasing_id()))  # of the set: different sets may have one smallest id
     postings = B.written(_postings(rows, percent))
     least = postings.groupBy("ngram").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1")
     star = postings.join(least, "ngram").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
@@ -239,8 +238,10 @@ def ngram_join(
     linked = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     of_set = (
-        equal.join(linked, "node", "left").join(counts, "node", "left")
-        .select(*key, F.coalesce("component", "node").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        rows.join(linked, "node", "left").join(counts, "node", "left")
+        .select(*key, "least_id", F.coalesce("component", "node").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     )
+    least_ids = of_set.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    of_set = of_set.join(least_ids, "component").select(*key, "component_id", "n_links")
     alone = sets.filter("ngrams is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return may.join(of_set, key).select("doc_id", "n_shingles", "component_id", "n_links").unionByName(alone)
