@@ -14,11 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks as B
 from . import words as W
 
 CLASSES = ("lower", "upper", "digit", "space", "sentence", "symbol", "other ascii", "beyond ascii")
 CHUNK = 3 << 20  # bytes of text that are measured at once; arrays of eight bytes a byte are made of them
 WAITING = 2 << 20  # words that a task counts at once
+HELD = 4096  # profiles, of about 1 KB, that are sent to every task; where there are more, each row is joined with its own
+POOLED = "*"  # the key of all languages together; those of languages begin with =
 SYMBOLS = b"#*$%&|<>"
 _CLASS = np.full(256, 6, np.int64)
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58] = 0, 1, 2
@@ -40,7 +43,6 @@ class Limits:
     word_distance: float = 0.45
     common_words: int = 64
     profile_documents: int = 50
-    languages: int = 256
 
 
 def measure(texts: pa.Array, window: int = 8) -> tuple[W.Words, dict[str, np.ndarray], np.ndarray]:
@@ -101,7 +103,7 @@ def _lower_hashes(texts: pa.Array) -> tuple[W.Words, np.ndarray]:
 
 
 def profiles(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """lang, documents, classes (mean shares), word_ids and word_shares, over all documents.
+    """lang, documents, classes (sums of shares), word_ids and word_shares, over all documents; ``POOLED`` is all languages.
 
     One pass adds up within each task; what is shuffled is a row for each language and
     word of a task. The most frequent words are found by hashed parts of the vocabulary
@@ -140,6 +142,8 @@ def profiles(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
         yield from (summed_up(lang, *got) for lang, got in held.items())
 
     summed = docs.mapInArrow(partial, "lang string, kind int, key long, value double").groupBy("lang", "kind", "key").agg(F.sum("value").alias("value"))
+    pooled = summed.groupBy("kind", "key").agg(F.sum("value").alias("value")).select(F.lit(POOLED).alias("lang"), "kind", "key", "value")
+    summed = summed.withColumn("lang", F.concat(F.lit("="), "lang")).unionByName(pooled)
     by_part = Window.partitionBy("lang", F.pmod("key", F.lit(64))).orderBy(F.desc("value"), "key")
     by_lang = Window.partitionBy("lang").orderBy(F.desc("value"), "key")
     counted = summed.filter("kind = 1")
@@ -160,10 +164,41 @@ def profiles(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     )
 
 
-def _held(docs: DataFrame, limits: Limits) -> dict[str, tuple]:
-    """The profiles of the languages with most documents, at most ``limits.languages``; a few KB each."""
-    rows = profiles(docs, limits).filter(F.col("documents") >= limits.profile_documents).orderBy(F.desc("documents"), "lang").limit(limits.languages)
-    return {r.lang: (np.array(r.classes), np.array(r.word_ids, np.int64).view(np.uint64), np.array(r.word_shares)) for r in rows.collect()}
+def _unpacked(row) -> tuple:
+    return np.array(row["classes"]), int(row["documents"]), np.array(row["word_ids"], np.int64), np.array(row["word_shares"])
+
+
+def _blended(own: tuple | None, pooled: tuple, limits: Limits) -> tuple:
+    """A language's profile; one of few documents is filled up to ``profile_documents`` by the profile of all languages."""
+    weight = min(1.0, own[1] / limits.profile_documents) if own else 0.0
+    parts = [(w, p) for w, p in ((weight, own), (1 - weight, pooled)) if w]
+    ids = np.unique(np.concatenate([p[2] for _, p in parts]))
+    classes, shares = np.zeros(8), np.zeros(len(ids))
+    for w, (sums, n, words, told) in parts:
+        classes += w * sums / n
+        shares[np.searchsorted(ids, words)] += w * told
+    return classes, ids.view(np.uint64), shares
+
+
+def _judged(docs: DataFrame, text: str, lang: str, limits: Limits):
+    """``docs``, which may have a further column ``_profile`` now, and what judges a batch of its texts and languages."""
+    texts = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    table = B.written(profiles(texts, limits))
+    top = table.filter(F.col("lang") == POOLED).first()
+    pooled = _unpacked(top) if top else None
+    rows = table.filter(F.col("lang") != POOLED).limit(HELD + 1).collect()
+    if len(rows) <= HELD:
+        held = {r.lang[1:]: _blended(_unpacked(r), pooled, limits) for r in rows}
+        return docs, lambda batch: held, pooled
+    packed = table.filter(F.col("lang") != POOLED).select(F.col("lang").alias("_lang"), F.struct("classes", "documents", "word_ids", "word_shares").alias("_profile"))
+    joined = docs.join(packed, F.concat(F.lit("="), F.coalesce(lang, F.lit(""))) == F.col("_lang"), "left").drop("_lang")
+
+    def own(batch):
+        langs = batch.column(lang).fill_null("").to_pylist()
+        first = {name: k for k, name in enumerate(langs)}
+        return {name: _blended(_unpacked(p), pooled, limits) for name, k in first.items() if (p := batch.column("_profile")[k].as_py())}
+
+    return joined, own, pooled
 
 
 RESULT = (
@@ -180,9 +215,8 @@ def quality_rules(
     Rejected are texts of fewer than ``least_words`` words, texts of which more than
     ``repeat_percent`` percent of the words are in repeated windows, and texts of
     ``profile_words`` words or more that lie further from their language's profile than
-    ``class_distance`` or ``word_distance``. A language with fewer than
-    ``profile_documents`` good documents, or beyond the ``languages`` largest, has no
-    profile: its distances are null and don't count.
+    ``class_distance`` or ``word_distance``. The profile of a language with fewer than
+    ``profile_documents`` good documents is filled up by that of all languages.
 
     Null and empty texts have no words and fail. A null language is a language of its
     own. Repeated rows are judged alike; an empty table gives an empty result; other
@@ -191,39 +225,43 @@ def quality_rules(
     texts = W.small_batches(docs).select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")
     )
-    judge = _judge(_held(texts, limits), limits)
+    texts, held, pooled = _judged(texts, "text", "lang", limits)
+    judge = _judge(pooled, limits)
 
     def run(batches):
         for batch in W.chunks(batches, "text", CHUNK):
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), **judge(batch.column("text"), batch.column("lang"))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), **judge(batch.column("text"), batch.column("lang"), held(batch))})
 
     return texts.mapInArrow(run, RESULT)
 
 
 def keep_good(docs: DataFrame, limits: Limits = Limits(), text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs``, as they are, that ``quality_rules`` keeps; judged in the same pass that reads them."""
-    texts = W.small_batches(docs).select(F.lit(0).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    judge = _judge(_held(texts, limits), limits)
+    texts = W.small_batches(docs).withColumns({"_text": F.col(text_col).cast("string"), "_lang_of": F.col(lang_col).cast("string")})
+    texts, held, pooled = _judged(texts, "_text", "_lang_of", limits)
+    judge = _judge(pooled, limits)
+    columns = docs.columns
 
     def run(batches):
-        for batch in W.chunks(batches, text_col, CHUNK):
-            yield batch.filter(judge(batch.column(text_col), batch.column(lang_col))["kept"])
+        for batch in W.chunks(batches, "_text", CHUNK):
+            yield batch.select(columns).filter(judge(batch.column("_text"), batch.column("_lang_of"), held(batch))["kept"])
 
-    return docs.mapInArrow(run, docs.schema)
+    return texts.mapInArrow(run, docs.schema)
 
 
-def _judge(held: dict[str, tuple], limits: Limits):
-    """Counts, distances and verdicts of a batch of texts by the profiles of ``held``."""
+def _judge(pooled: tuple | None, limits: Limits):
+    """Counts, distances and verdicts of a batch of texts by the profiles of ``held``; by ``pooled`` where a language has none."""
+    other = _blended(None, pooled, limits) if pooled else None
 
-    def judge(texts: pa.Array, lang: pa.Array) -> dict[str, pa.Array]:
+    def judge(texts: pa.Array, lang: pa.Array, held: dict[str, tuple]) -> dict[str, pa.Array]:
         _, counts, kinds = measure(texts, limits.repeat_window)
         words, hashes = _lower_hashes(texts)
         langs = np.asarray(lang.fill_null("").to_pylist(), object)
         owner = words.text_of()
         of_class = np.full(len(langs), np.nan)
         of_words = np.full(len(langs), np.nan)
-        for name in set(langs) & held.keys():
-            classes, ids, shares = held[name]
+        for name in set(langs) if other else ():
+            classes, ids, shares = held.get(name, other)
             mine = np.flatnonzero(langs == name)
             of_class[mine] = distance(kinds[mine], np.tile(classes, (len(mine), 1)))
             row = np.full(len(langs), -1)
