@@ -52,16 +52,15 @@ class _Sets:
         self.held = np.diff(np.append(runs, len(self.values)))
 
 
-def _add_up(keys: list[bytes], held: list[bytes]) -> list[bytes]:
-    """How many texts of all blocks hold each key."""
-    parts = [B.unpacked(k) for k in keys]
-    all_keys, counts = np.concatenate(parts), np.concatenate([np.frombuffer(x, np.uint32) for x in held])
+def _add_up(keys: list[np.ndarray], held: list[np.ndarray]) -> list[bytes]:
+    """How many texts of all blocks hold each key, less one: most have one."""
+    all_keys, counts = np.concatenate(keys), np.concatenate(held, 1)[0]
     order = np.argsort(all_keys, kind="stable")
     first = np.flatnonzero(np.concatenate([[True], all_keys[order][1:] != all_keys[order][:-1]]))
-    sums = np.add.reduceat(counts[order].astype(np.int64), first)
-    out = np.empty(len(order), np.uint32)
-    out[order] = np.minimum(np.repeat(sums, np.diff(np.append(first, len(order)))), 2**32 - 1)
-    return [x.tobytes() for x in np.split(out, np.cumsum([len(p) for p in parts])[:-1])]
+    sums = np.add.reduceat(counts[order] + 1, first)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.minimum(np.repeat(sums, np.diff(np.append(first, len(order)))) - 1, 2**32 - 1)
+    return [B.sparse(x) for x in B.split_at(out, keys)]
 
 
 def _needed(n, percent: int):
@@ -72,8 +71,8 @@ def _needed(n, percent: int):
 def _ordered_sets(n: int, percent: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         sets = _Sets(table, n)
-        total = B.replies(answers, 0, "<u4")
-        of = total[np.searchsorted(sets.known, sets.values)] if len(sets.values) else np.zeros(0, np.uint32)
+        total = B.replies(answers, 0, "sparse") + 1
+        of = total[np.searchsorted(sets.known, sets.values)] if len(sets.values) else np.zeros(0, np.int64)
         order = np.lexsort((sets.values, of, sets.owner))
         values, counts = sets.values[order], of[order]
         size = np.diff(sets.first)
@@ -212,13 +211,13 @@ def ngram_join(
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     held = B.write_blocks(texts, block_bytes)
-    shards = B.shard_count(held)
+    route, held_by = B.route(held), B.Extra("sparse")
 
     def ask(table: pa.Table) -> pa.Table:
         sets = _Sets(table, n)
-        return B.asks(table["block"][0].as_py(), sets.known, B.short(sets.known, shards), shards, sets.held.astype(np.uint32))
+        return B.asks(table["block"][0].as_py(), sets.known, route, held_by, sets.held - 1)
 
-    answers = B.answer(held.groupBy("block").applyInArrow(ask, B.ASK), 0, _add_up)
+    answers = B.answer(held.groupBy("block").applyInArrow(ask, B.ASK), route, 0, _add_up, held_by)
     sets = B.written(held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_ordered_sets(n, percent), _SETS))
     key = ["n_shingles", "k1", "k2"]
     may = sets.filter("ngrams is not null")

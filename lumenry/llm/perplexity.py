@@ -13,16 +13,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import words as W
 
 TRUSTED = -1  # the round under which a block learns which of its documents it is trained on
+STEPS = 1000  # of the logarithm of a perplexity; thresholds are exact to one of them
+BLOCK_BYTES = 2 * B.BLOCK_BYTES  # larger blocks hold fewer distinct pairs in all
 FOLDS = 5  # one in so many trusted documents is left out of training, for the thresholds
 #: As context: occurrences, and types seen once, twice, more often; as a continuation: types before it.
 PLANES = 5
+ONE, ALL = B.Extra("sparse"), B.Extra("sparse", PLANES)
 SCORED = "doc_id long, lang string, n_words long, perplexity double"
 
 
@@ -55,24 +58,23 @@ class _Pairs:
         planes[0] = np.bincount(self.left, self.counts, n)
         for k, chosen in ((1, total == 1), (2, total == 2), (3, total > 2), (4, total > 0)):
             planes[k] = np.bincount((self.right if k == 4 else self.left)[chosen & owned], minlength=n)
-        return planes.astype("<u4")
+        return planes
 
 
-def _shared(keys: list[bytes], sent: list[bytes], rows: int, mark: int) -> list[bytes]:
-    """Adds up ``rows`` values of each key over all blocks; row ``mark`` is doubled, plus one for the key's owner."""
-    parts = [B.unpacked(k) for k in keys]
-    all_keys = np.concatenate(parts)
-    values = np.concatenate([np.frombuffer(x, "<u4").reshape(rows, -1) for x in sent], 1)
+def _shared(keys: list[np.ndarray], sent: list[np.ndarray], mark: int) -> list[bytes]:
+    """Adds up the values of each key over all blocks; row ``mark`` is doubled, plus one for the key's owner."""
+    all_keys = np.concatenate(keys)
+    values = np.concatenate(sent, 1)
     order = np.argsort(all_keys, kind="stable")
     first = np.flatnonzero(np.concatenate([[True], all_keys[order][1:] != all_keys[order][:-1]]))
     runs = np.diff(np.append(first, len(order)))
-    sums = np.repeat(np.add.reduceat(values[:, order].astype(np.int64), first, 1), runs, 1)
+    sums = np.repeat(np.add.reduceat(values[:, order], first, 1), runs, 1)
     has = values[mark][order] > 0
     rank = np.cumsum(has) - np.repeat((np.cumsum(has) - has)[first], runs)
     sums[mark] = 2 * sums[mark] + (has & (rank == 1))
-    out = np.empty((rows, len(order)), "<u4")
+    out = np.empty(values.shape, np.int64)
     out[:, order] = np.minimum(sums, 2**32 - 1)
-    return [np.ascontiguousarray(x).tobytes() for x in np.split(out, np.cumsum([len(p) for p in parts])[:-1], 1)]
+    return [B.sparse(x) for x in B.split_at(out, keys)]
 
 
 def _tally(answers: DataFrame, round_: int, rows: int, mark: int) -> tuple[list[int], int, int]:
@@ -82,9 +84,10 @@ def _tally(answers: DataFrame, round_: int, rows: int, mark: int) -> tuple[list[
         total = np.zeros(6, np.int64)
         for batch in batches:
             for held in batch.column("reply").to_pylist():
-                x = np.frombuffer(held, "<u4").reshape(rows, -1)[mark].astype(np.int64)
-                x = x[x & 1 == 1] >> 1
-                total += [*((x == k).sum() for k in (1, 2, 3, 4)), (x > 0).sum(), x.sum()]
+                for part in B.frames(held):
+                    x = B.dense(part, rows)[mark]
+                    x = x[x & 1 == 1] >> 1
+                    total += [*((x == k).sum() for k in (1, 2, 3, 4)), (x > 0).sum(), x.sum()]
         yield pa.RecordBatch.from_arrays([pa.array([int(v)]) for v in total], names=list("abcdef"))
 
     got = answers.filter(F.col("round") == round_).select("reply").mapInArrow(run, "a long, b long, c long, d long, e long, f long")
@@ -114,36 +117,35 @@ def log_probabilities(pair, context, continuation, pair_discounts, word_discount
     return np.log(np.where(context[0] > 0, high / np.maximum(context[0], 1), low))
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def perplexities(docs: DataFrame, trusted: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, lang, n_words and perplexity (null without words) of docs (doc_id, text, lang), by a model of the ids in ``trusted``."""
     held = B.write_blocks(docs, block_bytes)
-    shards = B.shard_count(held)
+    route = B.route(held)
     ids = held.select("block", "doc_id").join(trusted.select("doc_id").distinct(), "doc_id").groupBy("block").agg(F.collect_list("doc_id").alias("ids"))
 
     def bytes_of(batches):
         for batch in batches:
             reply = [np.array(x, "<i8").tobytes() for x in batch.column("ids").to_pylist()]
             n = len(reply)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array([TRUSTED] * n, pa.int32()), pa.array([0] * n, pa.int32()), pa.array(reply, pa.binary())], names=["block", "round", "shard", "reply"])
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array([TRUSTED] * n, pa.int32()), pa.array([0] * n, pa.int64()), pa.array(reply, pa.binary())], names=["block", "round", "part", "reply"])
 
     known = B.written(ids.mapInArrow(bytes_of, B.ANSWER))
     blocks = held.select("block", "doc_id", "text")
 
     def ask_pairs(table: pa.Table, known: pa.Table) -> pa.Table:
         x = _Pairs(table, known)
-        return B.asks(table["block"][0].as_py(), x.pairs, B.short(x.pairs, shards), shards, x.counts.astype("<u4"))
+        return B.asks(table["block"][0].as_py(), x.pairs, route, ONE, x.counts)
 
     def ask_words(table: pa.Table, known: pa.Table) -> pa.Table:
         x = _Pairs(table, known)
-        planes = x.types(B.replies(known, 0, "<u4").astype(np.int64))
-        return B.asks(table["block"][0].as_py(), x.vocabulary, B.short(x.vocabulary, shards), shards, planes)
+        return B.asks(table["block"][0].as_py(), x.vocabulary, route, ALL, x.types(B.replies(known, 0, "sparse")))
 
     def cogrouped(run, known: DataFrame, schema: str, of: DataFrame = blocks) -> DataFrame:
         return of.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, schema)
 
-    pairs = B.written(B.answer(cogrouped(ask_pairs, known, B.ASK), 0, lambda k, x: _shared(k, x, 1, 0)))
+    pairs = B.written(B.answer(cogrouped(ask_pairs, known, B.ASK), route, 0, lambda k, x: _shared(k, x, 0), ONE))
     known = known.unionByName(pairs)
-    words = B.written(B.answer(cogrouped(ask_words, known, B.ASK), 1, lambda k, x: _shared(k, x, PLANES, 4)))
+    words = B.written(B.answer(cogrouped(ask_words, known, B.ASK), route, 1, lambda k, x: _shared(k, x, 4), ALL))
     known = known.unionByName(words)
     pair_discounts = discounts(_tally(pairs, 0, 1, 0)[0])
     told = _tally(words, 1, PLANES, 4)
@@ -152,8 +154,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame, block_bytes: int = B.BLOCK
     def score(table: pa.Table, known: pa.Table) -> pa.Table:
         x = _Pairs(table, known)
         pair = np.zeros(len(x.hashes), np.int64)
-        pair[x.at + 1] = (B.replies(known, 0, "<u4").astype(np.int64) >> 1)[x.of_pair]
-        planes = B.replies(known, 1, "<u4", PLANES).astype(np.int64)
+        pair[x.at + 1] = (B.replies(known, 0, "sparse") >> 1)[x.of_pair]
+        planes = B.replies(known, 1, "sparse", PLANES)
         context = np.zeros((4, len(x.hashes)), np.int64)
         context[:, x.at + 1] = planes[:4, x.of_word[x.at]]
         logs = log_probabilities(pair, context, planes[4, x.of_word] >> 1, pair_discounts, word_discounts, told)
@@ -165,39 +167,56 @@ def perplexities(docs: DataFrame, trusted: DataFrame, block_bytes: int = B.BLOCK
     return cogrouped(score, known, SCORED, held)
 
 
+def thresholds(told: DataFrame, quantile: float, prior: float) -> tuple[DataFrame, DataFrame]:
+    """(lang, own) and (overall): the quantile of the perplexities, by counting them in steps of 0.1 percent.
+
+    A language's own quantile is drawn (in logarithms) towards that of all languages, as if
+    ``prior`` documents had told the latter. What is shuffled are counts by language and
+    step, so no task gets the perplexities of a language.
+    """
+
+    def of(counts: DataFrame, keys: list[str]) -> DataFrame:
+        up = Window.partitionBy(*keys).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+        every = Window.partitionBy(*keys)
+        reached = counts.withColumns({"r": F.sum("n").over(up), "all": F.sum("n").over(every)}).filter(F.col("r") >= quantile * F.col("all"))
+        return reached.groupBy(*keys).agg(((F.min("step") + 1) / STEPS).alias("log"), F.first("all").alias("n"))
+
+    counts = told.groupBy("lang", F.floor(F.ln("perplexity") * STEPS).alias("step")).agg(F.count("*").alias("n"))
+    overall = of(counts.groupBy("step").agg(F.sum("n").alias("n")).withColumn("one", F.lit(0)), ["one"]).select(F.col("log").alias("overall"))
+    own = of(counts, ["lang"]).crossJoin(F.broadcast(overall))  # one row
+    blended = (F.col("n") * F.col("log") + prior * F.col("overall")) / (F.col("n") + prior)
+    return own.select(F.col("lang").alias("known_lang"), F.exp(blended).alias("own")), overall.select(F.exp("overall").alias("overall"))
+
+
 def quality_classifier(
     docs: DataFrame,
     labels: DataFrame,
     quantile: float = 0.995,
-    least_documents: int = 50,
+    prior: float = 20.0,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    block_bytes: int = B.BLOCK_BYTES,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """doc_id, lang, n_words, perplexity, threshold and kept, one row for each input row.
 
     Trusted are documents whose label ``quality`` is 1; the model is trained on all but one
     in FOLDS of them, and those left out give each language's threshold: the ``quantile``
-    of their perplexities, or that over all languages where there are fewer than
-    ``least_documents``. Kept is a document whose perplexity isn't above it.
+    of their perplexities, drawn towards that of all languages by ``prior`` documents.
+    Kept is a document whose perplexity isn't above it.
 
     Null and empty texts have no perplexity and aren't kept. A null language is one of its
-    own. Without trusted documents there is no threshold, and all documents with words are
-    kept. Repeated rows get equal rows, and count for training as often as they stand there.
-    Other columns are not read; an empty table gives an empty result. Whole texts count.
+    own, apart from an empty one. Without trusted documents there is no threshold, and all
+    documents with words are kept. Repeated rows get equal rows, and count for training as
+    often as they stand there. Other columns are not read; an empty table gives an empty
+    result. Whole texts count.
     """
-    texts = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang")
-    )
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     good = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     left_out = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(FOLDS)) == 0
     scored = B.written(perplexities(texts, good.filter(~left_out), block_bytes))
-    told = scored.filter("perplexity is not null").join(good.filter(left_out), "doc_id")
-    by_lang = told.groupBy("lang").agg(F.percentile("perplexity", F.lit(quantile)).alias("own"), F.count("*").alias("n")).filter(F.col("n") >= least_documents)
-    overall = told.agg(F.percentile("perplexity", F.lit(quantile)).alias("overall"))
-    out = scored.join(by_lang.select("lang", "own"), "lang", "left").join(F.broadcast(overall), how="left")
+    own, overall = thresholds(scored.filter("perplexity is not null").join(good.filter(left_out), "doc_id"), quantile, prior)
+    out = scored.join(F.broadcast(own), F.col("lang").eqNullSafe(F.col("known_lang")), "left").join(F.broadcast(overall), how="left")
     threshold = F.coalesce("own", "overall")
     kept = F.col("perplexity").isNotNull() & (threshold.isNull() | (F.col("perplexity") <= threshold))
-    lang = F.when(F.col("lang") != "", F.col("lang")).alias("lang")
-    return out.select("doc_id", lang, "n_words", "perplexity", threshold.alias("threshold"), kept.alias("kept"))
+    return out.select("doc_id", "lang", "n_words", "perplexity", threshold.alias("threshold"), kept.alias("kept"))

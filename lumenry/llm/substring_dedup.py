@@ -2,8 +2,9 @@
 
 Windows of a short length are looked up first; only places where every such window is
 repeated are extended to (at most) twice the length, until the full window length is
-reached or no candidate survives. At the full length the shards hold the smallest
-document of each window, and answer each block whether it holds that one.
+reached or no candidate survives. For the windows of full length that another block
+holds too, the shards then find the smallest document, and answer each block whether it
+holds that one.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql.types import StructType
 from . import blocks as B
 from . import words as W
 
+OWNED = B.Extra("plain", 2)
 RESULT = "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start:int,end:int>>"
 
 
@@ -47,10 +49,6 @@ class _Block:
     def _order(self) -> None:
         self.known, self.order, self.runs = B.ordered_unique(W.spread(self.sums[self.at]))
 
-    @property
-    def last(self) -> bool:
-        return self.level == len(self.levels) - 1
-
     def extend(self, elsewhere: np.ndarray) -> None:
         """On to the next level, for places whose windows of this level are all repeated."""
         length, wider = self.levels[self.level], self.levels[self.level + 1]
@@ -65,19 +63,21 @@ class _Block:
         self.level += 1
         self._order()
 
-    def asks(self, block: int, shards: int) -> pa.Table:
-        if not self.last:
-            return B.asks(block, self.known, B.short(self.known, shards), shards)
-        second = W.spread(W.window_sums(self.hashes, self.levels[-1], 1)[self.at])
-        texts, which = np.unique(self.ids, return_inverse=True)
-        owner = which[self.words.text_of()[self.at]][self.order]
+    def asks(self, block: int, route: B.Route) -> pa.Table:
+        return B.asks(block, self.known, route)
+
+    def owners(self, block: int, route: B.Route, elsewhere: np.ndarray) -> pa.Table:
+        """Of the windows that other blocks hold too: a second hash, and the smallest document of this block."""
+        second = W.spread(W.window_sums(self.hashes, self.levels[-1], 1)[self.at]).view(np.int64)[self.order][self.runs]
+        owner = self.ids[self.words.text_of()[self.at]][self.order]
         owner = np.minimum.reduceat(owner, self.runs) if len(owner) else owner
-        keys = np.empty(len(self.known), [("a", "<u8"), ("b", "<u2"), ("doc", "<u4" if len(texts) > 65535 else "<u2")])
-        keys["a"], keys["b"], keys["doc"] = self.known, second[self.order][self.runs] if len(self.runs) else 0, owner
-        return B.asks(block, self.known, keys, shards, None, texts.astype("<i8").tobytes())
+        asked = elsewhere.astype(bool)
+        return B.asks(block, self.known[asked], route, OWNED, np.stack([second[asked], owner[asked]]))
 
-    def removed(self, holds_first: np.ndarray) -> np.ndarray:
-        """The starts of windows that also start earlier."""
+    def removed(self, elsewhere: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The starts of windows that also start earlier. ``first``: of the windows ``elsewhere``, whether this block's document is the first."""
+        holds_first = np.ones(len(self.known), bool)
+        holds_first[elsewhere.astype(bool)] = first.astype(bool)
         counts = np.diff(np.append(self.runs, len(self.order)))
         texts = self.words.text_of()[self.at][self.order]
         ids = self.ids[texts]
@@ -87,24 +87,20 @@ class _Block:
         # the order within a run is by position, so by text: the first of each text in the run starts first in it
         fresh = np.concatenate([[True], texts[1:] != texts[:-1]])
         fresh[self.runs] = True
-        keep = np.repeat(holds_first.astype(bool), counts) & (ids == least) & fresh
+        keep = np.repeat(holds_first, counts) & (ids == least) & fresh
         return self.at[self.order][~keep]
 
 
-def _holds_first(keys: list[bytes], about: list[bytes]) -> list[bytes]:
+def _holds_first(keys: list[np.ndarray], owned: list[np.ndarray]) -> list[bytes]:
     """Bits: whether the block's smallest document of a window is the smallest of all."""
-    parts = []
-    for k, x in zip(keys, about, strict=True):
-        texts = np.frombuffer(x, "<i8")
-        held = np.frombuffer(k, [("a", "<u8"), ("b", "<u2"), ("doc", "<u4" if len(texts) > 65535 else "<u2")])
-        parts.append((held["a"], held["b"], texts[held["doc"]]))
-    a, b, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((doc, b, a))
-    first = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
+    key = np.concatenate(keys)
+    second, doc = np.concatenate(owned, 1)
+    order = np.lexsort((doc, second, key))
+    first = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (second[order][1:] != second[order][:-1])])
     least = np.repeat(doc[order][first], np.diff(np.append(np.flatnonzero(first), len(order))))
     flags = np.empty(len(order), bool)
     flags[order] = doc[order] == least
-    return [B.as_bits(x) for x in np.split(flags, np.cumsum([len(p[0]) for p in parts])[:-1])]
+    return [B.as_bits(x) for x in B.split_at(flags, keys)]
 
 
 def substring_dedup(
@@ -135,11 +131,11 @@ def substring_dedup(
     )
     held = B.write_blocks(texts, block_bytes)
     light = held.select("block", "doc_id", "text")
-    shards, levels = B.shard_count(held), lengths(window)
+    route, levels = B.route(held), lengths(window)
     known = None
-    for k in range(len(levels)):
-        reply = _holds_first if k == len(levels) - 1 else B.repeated
-        got = B.written(B.answer(_asks(light, known, levels, k, shards), k, reply))
+    for k in range(len(levels) + 1):
+        last = k == len(levels)
+        got = B.written(B.answer(_asks(light, known, levels, k, route), route, k, _holds_first if last else B.repeated, OWNED if last else None))
         known = got if known is None else known.unionByName(got)
     schema = StructType([*StructType.fromDDL(RESULT).fields, *(f for f in texts.schema.fields if f.name == "row")])
     return _cogrouped(held, known, _result(levels), schema)
@@ -161,20 +157,24 @@ def _replay(table: pa.Table, answers: pa.Table, levels: list[int], upto: int) ->
     return block
 
 
-def _asks(held: DataFrame, known: DataFrame | None, levels: list[int], k: int, shards: int) -> DataFrame:
+def _asks(held: DataFrame, known: DataFrame | None, levels: list[int], k: int, route: B.Route) -> DataFrame:
     def first(table: pa.Table) -> pa.Table:
-        return _replay(table, None, levels, 0).asks(table["block"][0].as_py(), shards)
+        return _replay(table, None, levels, 0).asks(table["block"][0].as_py(), route)
 
     def later(table: pa.Table, answers: pa.Table) -> pa.Table:
-        return _replay(table, answers, levels, k).asks(table["block"][0].as_py(), shards)
+        name = table["block"][0].as_py()
+        if k < len(levels):
+            return _replay(table, answers, levels, k).asks(name, route)
+        return _replay(table, answers, levels, k - 1).owners(name, route, B.replies(answers, k - 1, "bits"))
 
     return held.groupBy("block").applyInArrow(first, B.ASK) if known is None else _cogrouped(held, known, later, B.ASK)
 
 
 def _result(levels: list[int]):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        block = _replay(table, answers, levels, len(levels) - 1)
-        gone = W.covered(block.removed(B.replies(answers, len(levels) - 1, "bits")), levels[-1], len(block.hashes))
+        last = len(levels) - 1
+        block = _replay(table, answers, levels, last)
+        gone = W.covered(block.removed(B.replies(answers, last, "bits"), B.replies(answers, last + 1, "bits")), levels[-1], len(block.hashes))
         words = block.words
         edge = np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))
         # a run of removed words ends where its text ends
