@@ -223,7 +223,7 @@ def test_segment_bounds_hold():
     a, b = rng.normal(size=(20, 16)), rng.normal(size=(20, 16))
     exact = ((a - b) ** 2).sum(1)
     below = np.zeros(20)
-    for s in topk._resolutions(16):
+    for s in topk.resolutions(16):
         (am, ad), (bm, bd) = topk.statistics(a, s), topk.statistics(b, s)
         bound = 16 / s * (((am - bm) ** 2).sum(1) + ((ad - bd) ** 2).sum(1))
         assert (bound <= exact + 1e-9).all() and (bound >= below - 1e-9).all()  # finer ones are tighter
