@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -178,7 +179,6 @@ class _Encoder:
     def __init__(self, v: Vocabulary):
         self.v = v
         self.ids: dict[str, bytes] = {}
-        self.shown: dict[str, str] = {}
 
     def split(self, text: str | None) -> list[str]:
         if not text:
@@ -188,22 +188,17 @@ class _Encoder:
     def learn(self, words: set[str]) -> None:
         if len(self.ids) > HELD_WORDS:
             self.ids.clear()
-            self.shown.clear()
         parts = {w: pieces(w, self.v) for w in words - self.ids.keys()}
         fresh = list({p for x in parts.values() for p in x if isinstance(p, str)})
         ids, ends = encode_words([p.encode() for p in fresh], self.v)
-        held, names = ids.tobytes(), [self.v.tokens[k] for k in ids.tolist()]
+        held = ids.tobytes()
         coded: dict[str | int, bytes] = {k: k.to_bytes(4, "little") for k in self.v.special.values()}
-        shown: dict[str | int, str] = {k: name for name, k in self.v.special.items()}
         a = 0
         for piece, b in zip(fresh, ends.tolist(), strict=True):
-            coded[piece], shown[piece] = held[4 * a : 4 * b], " ".join(names[a:b])
+            coded[piece] = held[4 * a : 4 * b]
             a = b
         for w, x in parts.items():
-            if len(x) == 1:
-                self.ids[w], self.shown[w] = coded[x[0]], shown[x[0]]
-            else:
-                self.ids[w], self.shown[w] = b"".join([coded[p] for p in x]), " ".join([shown[p] for p in x])
+            self.ids[w] = coded[x[0]] if len(x) == 1 else b"".join([coded[p] for p in x])
 
 
 def decoded(ids, v: Vocabulary) -> str:
@@ -223,18 +218,18 @@ def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        encoder = _Encoder(vocabulary(sent.value))
+        v = vocabulary(sent.value)
+        encoder, tokens = _Encoder(v), pa.array(v.tokens, pa.string())
         for batch in W.chunks(batches, "text", CHUNK):
             texts = [encoder.split(x) for x in batch.column("text").to_pylist()]
             encoder.learn(set().union(*texts))
-            ids, shown = encoder.ids.__getitem__, encoder.shown.__getitem__
+            ids = encoder.ids.__getitem__
             held = [b"".join(map(ids, x)) for x in texts]
             offsets = np.cumsum([0] + [len(x) // 4 for x in held]).astype(np.int32)
             values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(held))])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array([" ".join(map(shown, x)) for x in texts], pa.string())],
-                names=["doc_id", "ids", "decoded"],
-            )
+            lists = pa.ListArray.from_arrays(pa.array(offsets), values)
+            shown = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), tokens.take(values)), " ")  # the ids, decoded
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, shown], names=["doc_id", "ids", "decoded"])
 
     texts = W.small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return texts.mapInArrow(run, RESULT)

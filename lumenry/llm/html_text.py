@@ -8,6 +8,8 @@ indented by and how columns are padded. Nothing recurses, so depth is no limit.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -20,7 +22,7 @@ from . import words as W
 # Element sets of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
-UNSEEN = frozenset("script style title template noscript noembed noframes iframe object audio video canvas svg math datalist head rp".split())
+UNSEEN = frozenset("script style title template noscript noembed noframes iframe object audio video canvas datalist head rp desc metadata defs symbol clippath mask marker annotation annotation-xml".split())
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl pre table figure fieldset".split())
 BLOCK = PARAGRAPH | frozenset(
     "address article aside body caption center dd details dialog dir div dt figcaption footer form header hgroup html legend li listing main menu nav optgroup option plaintext search section summary tbody td tfoot th thead tr xmp".split()
@@ -42,17 +44,23 @@ IMPLIED = {
     **{k: (CELLS | {"tr"} | ROWS, frozenset(("table",))) for k in ROWS},
     "body": (frozenset(("head",)), frozenset()),
 }
+_P, _TABLE = frozenset(("p",)), frozenset(("table",))
 P_SCOPE = CELLS | frozenset(("table", "button", "object", "template", "html"))
 
+# A tag as the states of the tokenizer read it: names, and values that are quoted, open to the end, or bare (these may hold quotes).
+_PART = r"[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>]*+))?+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(?:/[^>]*(?:>|\Z))?", re.S
+    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:" + _PART + r")*+)(?:>|\Z)|<(?:/[^>]*+(?:>|\Z))?", re.S
 )
-_ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>]*+)))?+")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
-_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_DECLARATION = re.compile(r"(display|visibility)\s*:\s*([\w-]+)[^;]*?(!\s*important)?\s*(?:;|\Z)", re.I)
+_HOLDS = re.compile(r"@(?:layer\b.*|media\s+(?:only\s+)?(?:all|screen)(?:\s*,.*)?)\s*\Z", re.I | re.S)
 _SELECTOR = re.compile(r"([a-zA-Z][\w-]*)?([.#][\w-]+)?\Z")
+INDENTS = 40  # levels of indentation; what is nested deeper stands at the last one
+ALIGNED = 6  # levels of nested tables whose columns are aligned; the cells of deeper ones are lines
+WIDEST = 100  # characters that a column is padded to at most
 
 
 @dataclass(slots=True)
@@ -74,23 +82,32 @@ def parse(html: str) -> Node:
     """The tree of a page; any text gives a tree."""
     root = Node("html")
     stack = [root]
+    opened: dict[str, list[int]] = defaultdict(list)  # where in the stack each tag is open, so that nothing walks it
+
+    def top(tags: frozenset) -> int:
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
+
+    def cut(at: int) -> None:
+        for node in stack[at:]:
+            opened[node.tag].pop()
+        del stack[at:]
 
     def close(tags: frozenset, barrier: frozenset) -> None:
         """Ends the outermost open element of ``tags`` above ``barrier``, and what is in it."""
-        cut = None
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                cut = k
-            elif stack[k].tag in barrier:
-                break
-        if cut is not None:
-            del stack[cut:]
+        limit = top(barrier)
+        first = [opened[t][k] for t in tags if opened.get(t) and (k := bisect_right(opened[t], limit)) < len(opened[t])]
+        if first:
+            cut(min(first))
 
     def begin(tag: str, attrs: dict[str, str]) -> Node:
         node = Node(tag, attrs)
         stack[-1].children.append(node)
         return node
 
+    def push(node: Node) -> None:
+        opened[node.tag].append(len(stack))
+        stack.append(node)
+
     at, size = 0, len(html)
     while at < size:
         m = _TOKEN.search(html, at)
@@ -104,29 +121,28 @@ def parse(html: str) -> Node:
             if m[0] == "<":
                 stack[-1].children.append("<")
             continue
+        if html[at - 1] != ">":
+            break  # a tag that the page doesn't end is none
         tag = m["name"].lower()
         if m["end"]:
-            if tag == "p" or tag == "br":
-                if tag == "br" or not any(n.tag == "p" for n in stack):
-                    begin(tag, {})
-                    continue
-            barrier = frozenset(("table",)) if tag in CELLS or tag in ROWS or tag == "tr" else CELLS
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in barrier and tag != "table":
-                    break
+            if tag == "br" or tag == "p" and not opened["p"]:
+                begin(tag, {})
+                continue
+            barrier = _TABLE if tag in CELLS or tag in ROWS or tag == "tr" else CELLS
+            if opened[tag] and (tag == "table" or opened[tag][-1] >= top(barrier)):
+                cut(opened[tag][-1])
             continue
-        if tag == "html" or tag == "body" and any(n.tag == "body" for n in stack):
-            stack[0 if tag == "html" else 1].attrs.update(_attributes(m["attrs"]))
+        if tag == "html" or tag == "body" and opened["body"]:
+            told = stack[0 if tag == "html" else opened["body"][0]].attrs
+            for k, v in _attributes(m["attrs"]).items():
+                told.setdefault(k, v)
             continue
         if tag in CLOSES_P:
-            close(frozenset(("p",)), P_SCOPE)
+            close(_P, P_SCOPE)
         if tag in IMPLIED:
             close(*IMPLIED[tag])
         if tag in ("td", "th") and stack[-1].tag != "tr":
-            stack.append(begin("tr", {}))
+            push(begin("tr", {}))
         node = begin(tag, _attributes(m["attrs"]))
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(html, at)
@@ -134,35 +150,76 @@ def parse(html: str) -> Node:
             node.children.append(unescape(text) if tag in ("textarea", "title") else text)
             at = end.end() if end else size
         elif tag not in VOID:
-            stack.append(node)
+            push(node)
     return root
 
 
-def _hidden_by_style(root: Node) -> set[tuple[str, str]]:
-    """(element, class or id) of simple selectors that a style element hides."""
-    out, todo = set(), [root]
+def _rules(sheet: str):
+    """(selectors, declarations) of the rules that hold on a screen of any size: not those within print or other conditions."""
+    holds, start = [True], 0
+    sheet = _COMMENT.sub(" ", sheet)
+    for m in re.finditer(r"[{};]", sheet):
+        before = sheet[start : m.start()].strip()
+        if m[0] == "{":
+            if before.startswith("@"):
+                holds.append(holds[-1] and bool(_HOLDS.match(before)))
+            else:
+                end = sheet.find("}", m.end())
+                body = sheet[m.end() : end if end >= 0 else len(sheet)]
+                if holds[-1]:
+                    yield before, body
+                holds.append(False)
+        elif m[0] == "}" and len(holds) > 1:
+            holds.pop()
+        elif m[0] == ";" and not before.startswith("@"):
+            continue
+        start = m.end()
+
+
+def _styles(root: Node) -> dict[tuple[str, str], dict[str, tuple]]:
+    """Of simple selectors (element; class or id): for display and visibility, the winning (important, weight, order, value)."""
+    out: dict[tuple[str, str], dict[str, tuple]] = {}
+    todo, order = [root], 0
     while todo:
         node = todo.pop()
         if node.tag == "style":
-            for selectors, body in _RULE.findall("".join(c for c in node.children if isinstance(c, str))):
-                if _NOT_SHOWN.search(body):
-                    out |= {(m[1] or "", m[2] or "") for s in selectors.split(",") if (m := _SELECTOR.match(s.strip())) and (m[1] or m[2])}
-        todo += [c for c in node.children if isinstance(c, Node)]
+            for selectors, body in _rules("".join(c for c in node.children if isinstance(c, str))):
+                told = _DECLARATION.findall(body)
+                for s in selectors.split(",") if told else ():
+                    m = _SELECTOR.match(s.strip())
+                    if m and (m[1] or m[2]):
+                        weight = (100 if (m[2] or "")[:1] == "#" else 10 if m[2] else 0) + bool(m[1])
+                        held = out.setdefault(((m[1] or "").lower(), m[2] or ""), {})
+                        for name, value, important in told:
+                            order += 1
+                            new = (bool(important), weight, order, value.lower())
+                            held[name.lower()] = max(held.get(name.lower(), new), new)
+        todo += [c for c in reversed(node.children) if isinstance(c, Node)]
     return out
 
 
-def _shown(node: Node, hidden: set[tuple[str, str]]) -> bool:
-    attrs = node.attrs
-    if node.tag in UNSEEN or node.tag == "dialog" and "open" not in attrs:
-        return False
-    if not attrs and not hidden:
-        return True
-    if "hidden" in attrs or node.tag == "input" or _NOT_SHOWN.search(attrs.get("style", "")):
+def _told(node: Node, styles: dict) -> dict[str, str]:
+    """The display and visibility that the page's simple rules and the element's own style give it."""
+    if not node.attrs and not styles:
+        return {}
+    best: dict[str, tuple] = {}
+    if styles:
+        marks = ["", *("." + c for c in node.attrs.get("class", "").split()), *(["#" + node.attrs["id"]] if "id" in node.attrs else [])]
+        for key in ((t, m) for t in (node.tag, "") for m in marks):
+            for name, new in styles.get(key, {}).items():
+                best[name] = max(best.get(name, new), new)
+    for k, (name, value, important) in enumerate(_DECLARATION.findall(node.attrs.get("style", ""))):
+        new = (bool(important), 1000, k, value.lower())
+        best[name.lower()] = max(best.get(name.lower(), new), new)
+    return {name: x[3] for name, x in best.items()}
+
+
+def _shown(node: Node, told: dict[str, str]) -> bool:
+    if node.tag in UNSEEN or node.tag == "input":
         return False
-    if hidden:
-        marks = ["", *("." + c for c in attrs.get("class", "").split()), *(["#" + attrs["id"]] if "id" in attrs else [])]
-        return not any((t, m) in hidden for t in (node.tag, "") for m in marks if t or m)
-    return True
+    if "display" in told:
+        return told["display"] != "none"
+    return "hidden" not in node.attrs and not (node.tag == "dialog" and "open" not in node.attrs)
 
 
 class _Flow:
@@ -186,9 +243,9 @@ class _Flow:
                 self.out.append("\n" * self.breaks)
             self.breaks, self.fresh = 0, True
         if self.fresh:
-            prefix = "".join(self.indent)
+            prefix = "".join(self.indent[:INDENTS])
             if self.marker:
-                prefix, self.marker = prefix[: -len(self.marker)] + self.marker, ""
+                prefix, self.marker = prefix[: max(0, len(prefix) - len(self.marker))] + self.marker, ""
             self.out.append(prefix)
             self.fresh = False
             self.space = False
@@ -233,13 +290,13 @@ def _aligned(rows: list[list[tuple[str, int]]]) -> list[str]:
         for text, span in row:
             widths += [0] * (at + span - len(widths))
             if span == 1:
-                widths[at] = max(widths[at], max(map(len, text.split("\n"))))
+                widths[at] = max(widths[at], min(WIDEST, max(map(len, text.split("\n")))))
             at += span
     out = []
     for row in rows:
         cells, at = [], 0
         for text, span in row:
-            cells.append((text.split("\n"), sum(widths[at : at + span]) + 2 * (span - 1)))
+            cells.append((text.split("\n"), min(WIDEST, sum(widths[at : at + span]) + 2 * (span - 1))))
             at += span
         for k in range(max((len(c) for c, _ in cells), default=0)):
             out.append("  ".join((c[k] if k < len(c) else "").ljust(w) for c, w in cells).rstrip(" "))
@@ -248,24 +305,26 @@ def _aligned(rows: list[list[tuple[str, int]]]) -> list[str]:
 
 def render(root: Node) -> str:
     """All visible text of a tree."""
-    hidden = _hidden_by_style(root)
+    styles = _styles(root)
     flows = [_Flow()]
     tables: list[list[list[tuple[str, int]]]] = []
     numbers: list[int | None] = []  # of open lists: the next number, None where items have no numbers
     seen = [True]
-    pre = 0
+    pre = drawn = lettered = 0  # open elements of preformatted text, of drawings, and of text in these
+    plain: list[bool] = []  # of open tables: whether their cells are but lines
     todo: list[tuple[Node | str, bool]] = [(root, False)]
     while todo:
         node, leaving = todo.pop()
         flow = flows[-1]
         if isinstance(node, str):
-            if seen[-1]:
+            if seen[-1] and (lettered or not drawn):
                 flow.text(node.replace("\r\n", "\n") if pre else node, bool(pre))
             continue
         tag = node.tag
         gap = 2 if tag in PARAGRAPH and not (tag in ("ul", "ol") and len(numbers) > (1 if leaving else 0)) else 1 if tag in BLOCK else 0
         if not leaving:
-            if not _shown(node, hidden):
+            told = _told(node, styles)
+            if not _shown(node, told):
                 continue
             if tag == "br":
                 flow.breaks, flow.space = flow.breaks + 1, False
@@ -275,9 +334,10 @@ def render(root: Node) -> str:
                 continue
             if tag == "img" or tag in VOID:
                 continue
-            told = _VISIBILITY.search(node.attrs.get("style", "")) if node.attrs else None
-            seen.append(seen[-1] if told is None else told[1].lower() == "visible")
-            if tag in CELLS and tables or tag == "tr" and tables:
+            seen.append(told["visibility"] == "visible" if told.get("visibility") in ("visible", "hidden", "collapse") else seen[-1])
+            drawn += tag == "svg"
+            lettered += bool(drawn) and tag in ("text", "foreignobject")
+            if tag in CELLS and tables and not plain[-1] or tag == "tr" and tables and not plain[-1]:
                 pass
             elif gap:
                 flow.line_break(gap)
@@ -296,10 +356,12 @@ def render(root: Node) -> str:
             elif tag in ("pre", "listing", "textarea", "xmp"):
                 pre += 1
             elif tag == "table":
-                tables.append([])
-            elif tag == "tr" and tables:
+                plain.append(len(plain) >= ALIGNED)
+                if not plain[-1]:
+                    tables.append([])
+            elif tag == "tr" and tables and not plain[-1]:
                 tables[-1].append([])
-            elif tag in CELLS and tables:
+            elif tag in CELLS and tables and not plain[-1]:
                 flows.append(_Flow())
             todo.append((node, True))
             children = node.children
@@ -308,6 +370,8 @@ def render(root: Node) -> str:
             todo += [(c, False) for c in reversed(children)]
             continue
         seen.pop()
+        lettered -= bool(drawn) and tag in ("text", "foreignobject")
+        drawn -= tag == "svg"
         if tag in ("ul", "ol", "menu", "dir"):
             numbers.pop()
         elif tag == "li":
@@ -318,7 +382,7 @@ def render(root: Node) -> str:
             flow.indent.pop()
         elif tag in ("pre", "listing", "textarea", "xmp"):
             pre -= 1
-        elif tag in CELLS and tables:
+        elif tag in CELLS and tables and not plain[-1]:
             text = flows.pop().done()
             if tag == "caption":
                 flows[-1].lines(text.split("\n"))
@@ -328,7 +392,7 @@ def render(root: Node) -> str:
             span = node.attrs.get("colspan", "1")
             tables[-1][-1].append((text, min(max(int(span), 1), 1000) if re.fullmatch(r"\d{1,4}", span) else 1))
             continue
-        elif tag == "table":
+        elif tag == "table" and not plain.pop():
             rows = tables.pop()
             flow.lines(_aligned([r for r in rows if r]))
         if tag != "tr" and gap:
@@ -345,7 +409,10 @@ def html_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
 
     Visible is all text but what is in elements that show none, has the attribute hidden,
     or is hidden by its own style or by a simple selector (element, class, id) of the
-    page. Paragraph-like elements stand apart by an empty line, other blocks by a line
+    page: the rule of the highest weight counts, the later one of equals, and none that
+    holds in print or under a condition only. Of drawings, the text elements show. Up to
+    INDENTS levels are indented, ALIGNED nested tables and WIDEST characters of a column
+    aligned; deeper and longer text is shown as well, as plain lines. Paragraph-like elements stand apart by an empty line, other blocks by a line
     end; list items carry markers and indents; the columns of a table are padded. Null
     and empty pages give an empty text; text without tags gives itself, white space
     collapsed; broken tags end at the end of the page. Repeated rows give equal rows,
