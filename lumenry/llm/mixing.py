@@ -3,8 +3,9 @@
 A tree of groups (say domain, language, source) splits a token budget by weight, level by
 level. A leaf can give at most its tokens times the epochs allowed. What a node can't
 give is redistributed among its siblings by weight first; only what all of them can't
-give goes up, to its ancestors' siblings. Each leaf then takes a prefix of its seeded
-document order, epoch after epoch, and cuts the last document at its budget.
+give goes up, to its ancestors' siblings. Each leaf then takes its documents in seeded
+epochs, each of an order of its own: whole epochs as far as the budget goes, and of the
+next one the prefix that fills it, whose last document is cut.
 """
 
 from __future__ import annotations
@@ -105,24 +106,29 @@ def mix_sources(
     light = [F.col(id_col).cast("long").alias("doc_id"), path.alias("path"), F.regexp_count(text, F.lit(TOKENS)).cast("long").alias("n_tokens"), rank.alias("rank")]
     rows = B.written(docs.select(*light))
     n_parts = max(LEAST_PARTS, rows.count() // PART_ROWS)
-    part = F.floor((F.col("rank").cast("double") / 2.0**64 + 0.5) * n_parts).alias("part")
-    rows = rows.filter("n_tokens > 0").select("*", part)
-    held = docs.select(*light, F.struct(*carry).alias("row")).filter("n_tokens > 0").select("*", part) if carry else rows
-
-    by_part = B.written(rows.groupBy("path", "part").agg(F.sum("n_tokens").alias("tokens")))
-    leaves = by_part.groupBy("path").agg(F.sum("tokens").alias("tokens"))
+    rows = rows.filter("n_tokens > 0")
+    leaves = B.written(rows.groupBy("path").agg(F.sum("n_tokens").alias("tokens")))
     total = share * (leaves.agg(F.sum("tokens")).first()[0] or 0)
-    given = budgets(leaves, total, weights or {}, epochs).select("path", F.col("tokens").alias("leaf"), F.floor("budget").cast("long").alias("budget"))
+    budget = F.floor("budget").cast("long")
+    given = B.written(
+        budgets(leaves, total, weights or {}, epochs)
+        .select("path", F.floor(budget / F.col("tokens")).cast("int").alias("whole"), (budget - F.floor(budget / F.col("tokens")) * F.col("tokens")).cast("long").alias("rest"))
+    )
+
+    def in_order(df: DataFrame) -> DataFrame:
+        """Rows in the order of the epoch that their leaf doesn't take whole: a hash of the rank and the epoch."""
+        order = F.xxhash64("rank", "whole")
+        return df.join(given, "path").withColumn("order", order).withColumn("part", F.floor((order.cast("double") / 2.0**64 + 0.5) * n_parts))
+
+    by_part = in_order(rows).groupBy("path", "part").agg(F.sum("n_tokens").alias("tokens"))
     before_part = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = by_part.withColumn("earlier", F.coalesce(F.sum("tokens").over(before_part), F.lit(0))).join(given, "path").select("path", "part", "earlier", "leaf", "budget")
-    inside = Window.partitionBy("path", "part").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = held.withColumn("within", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(parts, ["path", "part"])
-    # epoch e of a row begins after e whole leaves and the rows before it
-    each = placed.withColumn("start", F.col("earlier") + F.col("within")).withColumn(
-        "epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("budget") - F.col("start") - 1) / F.col("leaf"))).cast("int")))
-    )
-    left = F.col("budget") - F.col("epoch") * F.col("leaf") - F.col("start")
-    taken = each.withColumn("n_taken", F.least("n_tokens", left)).filter("n_taken > 0")
+    parts = B.written(by_part.withColumn("earlier", F.coalesce(F.sum("tokens").over(before_part), F.lit(0))).select("path", "part", "earlier"))
+    held = docs.select(*light, F.struct(*carry).alias("row")).filter("n_tokens > 0") if carry else rows
+    inside = Window.partitionBy("path", "part").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = in_order(held).withColumn("within", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(parts, ["path", "part"])
+    left = F.greatest(F.lit(0), F.least("n_tokens", F.col("rest") - F.col("earlier") - F.col("within")))
+    taken = placed.withColumn("left", left).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole"))))
+    taken = taken.withColumn("n_taken", F.when(F.col("epoch") < F.col("whole"), F.col("n_tokens")).otherwise(F.col("left"))).filter("n_taken > 0")
     return taken.select("doc_id", "path", "epoch", "n_tokens", "n_taken", *(["row"] if carry else []))
 
 

@@ -21,7 +21,7 @@ CLASSES = ("lower", "upper", "digit", "space", "sentence", "symbol", "other asci
 CHUNK = 3 << 20  # bytes of text that are measured at once; arrays of eight bytes a byte are made of them
 WAITING = 2 << 20  # words that a task counts at once
 HELD = 4096  # profiles, of about 1 KB, that are sent to every task; where there are more, each row is joined with its own
-POOLED = "*"  # the key of all languages together; those of languages begin with =
+POOLED, UNTOLD = "*", "-"  # the keys of all languages together, and of the null language; those of others begin with =
 SYMBOLS = b"#*$%&|<>"
 _CLASS = np.full(256, 6, np.int64)
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58] = 0, 1, 2
@@ -97,6 +97,10 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(total[:, 0] > 0, np.sqrt(np.maximum(each.sum(1) / 2, 0)), 0.0)
 
 
+def _keys(lang: pa.Array) -> list[str]:
+    return [UNTOLD if x is None else "=" + x for x in lang.to_pylist()]
+
+
 def _lower_hashes(texts: pa.Array) -> tuple[W.Words, np.ndarray]:
     words = W.split(texts, lower=True)
     return words, words.hashes()
@@ -128,7 +132,7 @@ def profiles(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
             use = ~base_failed(counts, limits)
             words, hashes = _lower_hashes(texts)
             owner = words.text_of()
-            langs = np.asarray(batch.column("lang").fill_null("").to_pylist(), object)
+            langs = np.asarray(_keys(batch.column("lang")), object)
             for lang in set(langs[use]):
                 mine = use & (langs == lang)
                 got = held.setdefault(lang, [np.zeros(8), 0, []])
@@ -143,7 +147,7 @@ def profiles(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     summed = docs.mapInArrow(partial, "lang string, kind int, key long, value double").groupBy("lang", "kind", "key").agg(F.sum("value").alias("value"))
     pooled = summed.groupBy("kind", "key").agg(F.sum("value").alias("value")).select(F.lit(POOLED).alias("lang"), "kind", "key", "value")
-    summed = summed.withColumn("lang", F.concat(F.lit("="), "lang")).unionByName(pooled)
+    summed = summed.unionByName(pooled)
     by_part = Window.partitionBy("lang", F.pmod("key", F.lit(64))).orderBy(F.desc("value"), "key")
     by_lang = Window.partitionBy("lang").orderBy(F.desc("value"), "key")
     counted = summed.filter("kind = 1")
@@ -188,13 +192,13 @@ def _judged(docs: DataFrame, text: str, lang: str, limits: Limits):
     pooled = _unpacked(top) if top else None
     rows = table.filter(F.col("lang") != POOLED).limit(HELD + 1).collect()
     if len(rows) <= HELD:
-        held = {r.lang[1:]: _blended(_unpacked(r), pooled, limits) for r in rows}
+        held = {r.lang: _blended(_unpacked(r), pooled, limits) for r in rows}
         return docs, lambda batch: held, pooled
     packed = table.filter(F.col("lang") != POOLED).select(F.col("lang").alias("_lang"), F.struct("classes", "documents", "word_ids", "word_shares").alias("_profile"))
-    joined = docs.join(packed, F.concat(F.lit("="), F.coalesce(lang, F.lit(""))) == F.col("_lang"), "left").drop("_lang")
+    joined = docs.join(packed, F.coalesce(F.concat(F.lit("="), lang), F.lit(UNTOLD)) == F.col("_lang"), "left").drop("_lang")
 
     def own(batch):
-        langs = batch.column(lang).fill_null("").to_pylist()
+        langs = _keys(batch.column(lang))
         first = {name: k for k, name in enumerate(langs)}
         return {name: _blended(_unpacked(p), pooled, limits) for name, k in first.items() if (p := batch.column("_profile")[k].as_py())}
 
@@ -219,7 +223,7 @@ def quality_rules(
     ``profile_documents`` good documents is filled up by that of all languages.
 
     Null and empty texts have no words and fail. A null language is a language of its
-    own. Repeated rows are judged alike; an empty table gives an empty result; other
+    own, apart from an empty one. Repeated rows are judged alike; an empty table gives an empty result; other
     columns are not read. Whole texts count, of any length.
     """
     texts = W.small_batches(docs).select(
@@ -256,7 +260,7 @@ def _judge(pooled: tuple | None, limits: Limits):
     def judge(texts: pa.Array, lang: pa.Array, held: dict[str, tuple]) -> dict[str, pa.Array]:
         _, counts, kinds = measure(texts, limits.repeat_window)
         words, hashes = _lower_hashes(texts)
-        langs = np.asarray(lang.fill_null("").to_pylist(), object)
+        langs = np.asarray(_keys(lang), object)
         owner = words.text_of()
         of_class = np.full(len(langs), np.nan)
         of_words = np.full(len(langs), np.nan)

@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import zlib
 from collections import Counter
 from collections.abc import Sequence
 
@@ -27,8 +28,7 @@ from . import words as W
 WINDOW = 16  # words
 DICTIONARY_BYTES = 110 << 10
 LEAST_MATCH = 5  # bytes; shorter matches are chance
-SAMPLE = 5000  # labelled texts of each class that the driver reads at most, of SAMPLE_BYTES each on average at most
-SAMPLE_BYTES = 4 << 10
+SAMPLE = 5000  # labelled texts of each class that the driver reads at most
 _WORD = re.compile(r"\w+")
 
 
@@ -110,7 +110,7 @@ def dictionaries(toxic: Sequence[str], ordinary: Sequence[str]) -> tuple[bytes,
     like = [draw.choice(of_length[min(of_length, key=lambda n: abs(n - len(w)))]) for w in told] if of_length else []
     added = "".join("\0 " + w for w in told).encode() + b"\0"
     filled = ("".join("\0 " + w for w in like).encode() + b"\0")[: len(added)].rjust(len(added), b"\0")
-    runs = [x for text in ordinary for x in windows(text)][: 40 * SAMPLE]
+    runs = [x for text in ordinary for x in windows(text)]
     try:
         shared = zstandard.train_dictionary(DICTIONARY_BYTES, runs).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself
@@ -160,23 +160,15 @@ def held_out(id_col) -> F.Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[str], float]:
-    """Whole toxic and ordinary texts of labelled rows that aren't held out, by a hash of the id; and the odds.
+    """Whole toxic and ordinary texts of at most ``sample`` labelled rows of each class that aren't held out, by a hash of the id; and the odds.
 
-    At most ``sample`` rows of each class, and no more after the one that brings a class to
-    ``sample`` * SAMPLE_BYTES characters: long texts make the sample smaller, not shorter.
+    Of rows that repeat an id, the least text counts.
     """
-    known = labels.filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    known = labels.filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     first = [known.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample) for toxic in (1, 0)]
     chosen = F.broadcast(first[0].unionByName(first[1]))
-    held = docs.join(chosen, "doc_id").filter("text is not null")
-    sizes = held.groupBy("toxic", "doc_id").agg(F.sum(F.length("text")).alias("size"), F.xxhash64("doc_id", F.lit(3)).alias("place")).collect()
-    total, ids = {1: 0, 0: 0}, []
-    for r in sorted(sizes, key=lambda r: (r.place, r.doc_id)):
-        if total[r.toxic] < sample * SAMPLE_BYTES:
-            total[r.toxic] += r["size"]
-            ids.append((r.doc_id, r.toxic))
-    taken = F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, toxic long"))
-    rows = sorted(docs.join(taken, "doc_id").filter("text is not null").select("doc_id", "toxic", "text").collect(), key=lambda r: (hash((r.doc_id, 3)), r.doc_id, r.text))
+    texts = docs.join(chosen, "doc_id").filter("text is not null").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = sorted(texts.collect(), key=lambda r: (zlib.crc32(f"{r.doc_id} 3".encode()), r.doc_id))
     n = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     return [r.text for r in rows if r.toxic == 1], [r.text for r in rows if r.toxic == 0], max(1, n.get(1, 0)) / max(1, n.get(0, 0))
 

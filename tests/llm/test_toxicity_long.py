@@ -9,16 +9,15 @@ from lumenry.llm import toxicity
 SF = "/root/testdata/sf0.1"
 
 
-def test_training_texts_are_whole(spark, monkeypatch):
+def test_training_texts_are_whole(spark):
     ids = range(40)
     texts = {k: ("word " * 2000 + f"end{k}") for k in ids}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     labels = spark.createDataFrame([(k, k % 2) for k in ids], "doc_id long, toxic long")
     toxic, ordinary, _ = toxicity.sample(docs, labels)
     assert toxic and ordinary and set(toxic) | set(ordinary) <= set(texts.values())
-    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 1500)
-    fewer, _, _ = toxicity.sample(docs, labels, 20)
-    assert 0 < len(fewer) < len(toxic) and set(fewer) <= set(toxic)
+    fewer = toxicity.sample(docs, labels, 5)
+    assert len(fewer[0]) == len(fewer[1]) == 5 and set(fewer[0]) | set(fewer[1]) <= set(texts.values())
 
 
 def test_long_texts_by_themselves(spark):
