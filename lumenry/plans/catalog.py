@@ -28,7 +28,7 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 TODAY = "1998-06-10"
 _SCHEDULE = """(SELECT o_orderkey AS event_id, CAST(o_orderdate AS DATE) AS event_day,
- c_mktsegment || ' NIGHT ' || o_custkey AS event_name, 'Hall ' || c_nationkey AS venue,
+ c_mktsegment || ' NIGHT ' || substr(md5(CAST(o_custkey AS VARCHAR)), 1, 16) AS event_name, 'Hall ' || c_nationkey AS venue,
  CAST(floor(o_totalprice) AS INTEGER) AS general_price, CAST(floor(o_totalprice + 1500) AS INTEGER) AS priority_price,
  o_orderstatus, o_custkey, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey) s"""
 
@@ -60,7 +60,7 @@ def public_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"""SELECT event_id AS post_id, event_day AS event_date, event_name, venue, '17:30' AS open_time, '18:00' AS start_time,
  general_price, priority_price, 'initial_announcement' AS source_kind, 0.9 AS confidence FROM {_SCHEDULE}""")
 def extract_event_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = X.extract(posts(spark, sf_dir).withColumn("text", F.regexp_replace("text", "抽選受付.*", "")))
+    df = X.extract(posts(spark, sf_dir))
     names = ("post_id", "event_date", "event_name", "venue", "open_time", "start_time", "general_price", "priority_price", "source_kind")
     return df.select(*names, F.round(F.col("confidence"), 2).alias("confidence"))
 
