@@ -27,8 +27,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     stay together, if any of them is its group's.
     """
     stays = ngram_join(docs).filter("component_id = doc_id").select("doc_id").distinct()
-    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.length("text"))
-    rows = docs.join(stays, "doc_id", "left_semi").withColumn("_copy", F.row_number().over(same)).filter("_copy = 1").select(docs.columns)
+    same = Window.partitionBy("d.doc_id", F.xxhash64("d.text")).orderBy(F.length("d.text"))
+    rows = docs.join(stays, "doc_id", "left_semi").select(F.struct(*[docs[c] for c in docs.columns]).alias("d"))  # no name clashes with the number of the copy
+    rows = rows.select("d", F.row_number().over(same).alias("copy")).filter("copy = 1").select("d.*")
     return rows.unionByName(docs.filter("doc_id IS NULL"))
 
 

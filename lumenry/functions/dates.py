@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DateType
 
 from .text import let
 
@@ -12,11 +17,12 @@ MOST_DAYS = 14
 #: Forms of a date, in the order in which they are tried.
 FULL = r"(20\d{2})[年/\-.](\d{1,2})[月/\-.](\d{1,2})(?:日)?"
 FORMS = (r"(?<!\d)(\d{1,2})月(\d{1,2})日?(?!\d)", r"(?<!\d)(\d{1,2})/(\d{1,2})(?!\d)", r"(?<!\d)(\d{1,2})\.(\d{1,2})(?!\d)")
-PARENTHESIS = r"(?:\s*[（(][^）)]*[）)])?"
-RANGE = (
-    r"(?<![\d/])(\d{1,2})(?:月|[/\.])(\d{1,2})(?:日)?" + PARENTHESIS + r"\s*(?:-|ー|–|〜|～|~)\s*(?:(\d{1,2})(?:月|[/\.]))?(\d{1,2})(?:日)?(?![\d:：])"
+#: What a text is read as, piece by piece: days with a year, with a month, bare numbers, remarks in parentheses, signs between days.
+_PIECES = re.compile(
+    r"(?P<year>20\d\d)[年/\-.](?P<ym>\d{1,2})[月/\-.](?P<yd>\d{1,2})日?|(?P<month>\d{1,2})(?P<by>[月/.])(?P<day>\d{1,2})(?!\d)日?"
+    r"|(?P<number>\d+)日?|(?P<remark>[（(][^）)]*[）)])|(?P<to>[-ー–〜～~])|(?P<and>[,、・])|(?P<other>\S)"
 )
-LIST = r"(?<!\d)(\d{1,2})(?:/|月)(\d{1,2})(?:日)?" + PARENTHESIS + r"((?:\s*[,、・]\s*(?!\d{1,2}\s*[/\.月])\d{1,2}(?:日)?" + PARENTHESIS + r")+)(?!\d)"
+_URL = re.compile(r"https?://\S+")
 
 
 def local_date(at: Column) -> Column:
@@ -54,44 +60,77 @@ def event_date(text: Column, posted: Column) -> Column:
     return F.coalesce(_full(text), *[infer_year(_number(text, f, 1), _number(text, f, 2), posted) for f in FORMS])
 
 
-def event_dates(text: Column, posted: Column) -> Column:
-    """All dates of a text: full dates, ranges of up to MOST_DAYS days, lists of days, single days; each once."""
-    def of(rest: Column) -> Column:
-        full = F.transform(F.regexp_extract_all(rest, F.lit(FULL), F.lit(0)), lambda x: _full(x))
-        rest = F.regexp_replace(rest, FULL, " ")
-
-        def ranged(x: Column) -> Column:
-            first = infer_year(_number(x, RANGE, 1), _number(x, RANGE, 2), posted)
-            parts = F.struct(first.alias("first"), F.coalesce(_number(x, RANGE, 3), _number(x, RANGE, 1)).alias("m"), _number(x, RANGE, 4).alias("d"))
-
-            def last(p: Column) -> Column:
-                same = day_of(F.year(p["first"]), p["m"], p["d"])
-                return F.struct(p["first"].alias("first"), let(same, lambda t: F.when(t < p["first"], day_of(F.year(p["first"]) + 1, p["m"], p["d"])).otherwise(t)).alias("last"))
-
-            def days(p: Column) -> Column:
-                return F.when(F.datediff(p["last"], p["first"]).between(0, MOST_DAYS), F.sequence(p["first"], p["last"])).otherwise(F.array(p["first"]))
-
-            return let(let(parts, last), days)
-
-        ranges = F.flatten(F.transform(F.regexp_extract_all(rest, F.lit(RANGE), F.lit(0)), ranged))
-        rest = F.regexp_replace(rest, RANGE, " ")
-
-        def listed(x: Column) -> Column:
-            month = _number(x, LIST, 1)
-            days = F.concat(F.array(F.regexp_extract(x, LIST, 2)), F.regexp_extract_all(F.regexp_replace(F.regexp_extract(x, LIST, 3), r"[（(][^）)]*[）)]", ""), F.lit(r"\d{1,2}"), F.lit(0)))
-            return F.transform(days, lambda d: infer_year(month, d.try_cast("int"), posted))
-
-        lists = F.flatten(F.transform(F.regexp_extract_all(rest, F.lit(LIST), F.lit(0)), listed))
-        rest = F.regexp_replace(rest, LIST, " ")
-
-        def singly(form: str) -> Column:
-            return F.transform(F.regexp_extract_all(rest, F.lit(form), F.lit(0)), lambda x: infer_year(_number(x, form, 1), _number(x, form, 2), posted))
-
-        single = [singly(f) for f in FORMS]
-        return F.array_distinct(F.array_compact(F.concat(full, ranges, lists, *single)))
-
-    return let(F.regexp_replace(text, r"https?://\S+", ""), of)
+def _safe(year: int, month: int, day: int) -> dt.date | None:
+    try:
+        return dt.date(year, month, day)
+    except ValueError:
+        return None
+
+
+def dates_in(text: str, posted: dt.date) -> list[dt.date]:
+    """All dates of a text: full dates, ranges of up to MOST_DAYS days, lists of days, single days; each once.
+
+    The text is cut into pieces once; a day with its month begins a range if a sign and
+    another day follow, a list if further numbers follow, else it stands for itself.
+    """
+    pieces = list(_PIECES.finditer(_URL.sub(" ", text)))
+
+    def inferred(month: str, day: str) -> dt.date | None:
+        this = _safe(posted.year, int(month), int(day))
+        return _safe(posted.year + 1, int(month), int(day)) if this and this < posted - dt.timedelta(30) else this
+
+    def kind(k: int) -> str:
+        return pieces[k].lastgroup if k < len(pieces) else ""
+
+    def past(k: int) -> int:
+        """The place of the next piece that is no remark."""
+        return k + 1 if kind(k) == "remark" else k
+
+    def number(k: int) -> str | None:
+        """A bare day: a number of one or two digits that is no time and has no month or further part."""
+        if kind(k) != "number" or len(pieces[k]["number"]) > 2 or kind(k + 1) == "other" and pieces[k + 1][0] in ":：/月":
+            return None
+        return pieces[k]["number"]
+
+    full, ranges, lists, single = [], [], [], {"月": [], "/": [], ".": []}
+    k = 0
+    while k < len(pieces):
+        m = pieces[k]
+        k += 1
+        if m["year"]:
+            full.append(_safe(int(m["year"]), int(m["ym"]), int(m["yd"])))
+        if not m["month"]:
+            continue
+        first, after = inferred(m["month"], m["day"]), past(k)
+        end = None
+        if kind(after) == "to":
+            n = pieces[after + 1] if after + 1 < len(pieces) else None
+            end = (n["month"], n["day"]) if n is not None and n["month"] else (m["month"], number(after + 1))
+        if end is not None and end[1] is not None:
+            k = after + 2
+            last = first and _safe(first.year, int(end[0]), int(end[1]))
+            if last and last < first:
+                last = _safe(first.year + 1, int(end[0]), int(end[1]))
+            n_days = (last - first).days if last else -1
+            ranges += [first + dt.timedelta(j) for j in range(n_days + 1)] if 0 <= n_days <= MOST_DAYS else [first]
+            continue
+        days = [m["day"]]
+        while m["by"] != "." and kind(after) == "and" and (n := number(after + 1)):
+            days.append(n)
+            k, after = after + 2, past(after + 2)
+        if len(days) > 1:
+            lists += [inferred(m["month"], d) for d in days]
+        else:
+            single[m["by"]].append(first)
+    found = [*full, *ranges, *lists, *single["月"], *single["/"], *single["."]]
+    return [d for d in dict.fromkeys(found) if d is not None]
+
+
+@F.pandas_udf(ArrayType(DateType()))
+def event_dates(text: pd.Series, posted: pd.Series) -> pd.Series:
+    """``dates_in`` of each text. One pass of Python for a text is faster here than a dozen patterns in the JVM."""
+    return pd.Series([None if a is None or pd.isna(b) else dates_in(a, b) for a, b in zip(text, posted)], dtype=object)
 
 
 def weekday_label(day: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, "月火水木金土日")), F.weekday(day) + 1)
+    return F.when(day.isNotNull(), F.element_at(F.array(*map(F.lit, "月火水木金土日")), F.weekday(day) + 1))  # a null place would give the last

@@ -51,7 +51,7 @@ def selected_period(periods: DataFrame, key: str) -> DataFrame:
     """The period that flat fields come from: by kind of sale, then the earliest deadline, then start."""
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, PREFERENCE)), F.coalesce("sale_type", F.lit(""))), F.lit(0))
     rank = F.when(rank == 0, len(PREFERENCE) + 1).otherwise(rank)
-    order = Window.partitionBy(key).orderBy(rank, F.asc_nulls_last("deadline_at"), F.asc_nulls_last("start_at"))
+    order = Window.partitionBy(key).orderBy(rank, F.asc_nulls_last("deadline_at"), F.asc_nulls_last("start_at"), *[F.asc_nulls_last(c) for c in sorted(periods.columns)])
     return periods.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +17,7 @@ from ..operators import report as Q
 from ..operators import sales as L
 from ..sources import sinks as W
 from ..sources import state as K
+from ..sources.shared import shared_folder
 from ..streaming import sync as Y
 from .synth import posts, schedule, table
 
@@ -381,8 +379,7 @@ def similarity_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT user_id, count(*) AS n_updates, arg_max(event_type, ts) AS event_type FROM events GROUP BY 1")
 def stream_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream, each id once, merged batch by batch into a kept state; then the state's latest rows."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lumenry-")
-    where = f"{top.rstrip('/')}/sync-{uuid.uuid4().hex}"
+    where = shared_folder(spark, "sync")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = Y.each_once(Y.read_files(spark, f"{sf_dir}/events.parquet*", schema), "event_id", "ts")
     # a batch that is handed over again overwrites what it wrote before

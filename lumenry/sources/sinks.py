@@ -13,11 +13,14 @@ def write_json(rows: DataFrame, path: str, order: list[str]) -> None:
     rows.orderBy(*order).write.mode("overwrite").json(path)
 
 
-def sheet_upsert(old: DataFrame, new: DataFrame, keys: list[str], protected: list[str], manual: str = "manual") -> DataFrame:
-    """``old`` with ``new`` by keys; rows marked as manual keep their protected columns. Keys that ``new`` repeats count once."""
+def sheet_upsert(old: DataFrame, new: DataFrame, keys: list[str], protected: list[str], manual: str = "manual", order: list[str] | None = None) -> DataFrame:
+    """``old`` with ``new`` by keys; rows marked as manual keep their protected columns.
+
+    Of rows that repeat a key in ``new`` the last by ``order`` counts, or the largest.
+    """
     cells = [c for c in new.columns if c not in keys]
     kept = old.select(*keys, F.coalesce(F.col(manual), F.lit(False)).alias(manual), F.struct(*cells).alias("o"))
-    fresh = new.dropDuplicates(keys).select(*keys, F.struct(*cells).alias("n"))
+    fresh = new.groupBy(*keys).agg(F.max_by(F.struct(*cells), F.struct(*(order or cells))).alias("n"))
     both = kept.join(fresh, keys, "full_outer")
     pick = lambda c: F.when(F.col("n").isNull() | (F.coalesce(F.col(manual), F.lit(False)) & F.lit(c in protected)), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}"))
     return both.select(*keys, F.coalesce(F.col(manual), F.lit(False)).alias(manual), *[pick(c).alias(c) for c in cells])

@@ -61,13 +61,15 @@ def cursor(ids: DataFrame, column: str = "post_id") -> DataFrame:
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """``old`` with the rows of ``new`` in place of those of equal keys."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
+    """``old`` with the rows of ``new`` in place of those of equal keys; of rows that repeat a key in ``new`` the largest counts."""
+    once = new.groupBy(key).agg(F.max(F.struct(*new.columns)).alias("r")).select("r.*")
+    return old.join(once.select(key), key, "left_anti").unionByName(once, allowMissingColumns=True)
 
 
 def archive_merge(old: DataFrame, new: DataFrame, key: str, cells: list[str]) -> tuple[DataFrame, DataFrame]:
     """The merged archive, and one row (n_added, n_updated, n_kept): writing can be left out where nothing changed."""
-    o, n = (df.select(key, F.struct(*cells).alias(name)) for df, name in ((old, "old"), (new, "new")))
+    # of rows that repeat a key the largest counts
+    o, n = (df.groupBy(key).agg(F.max(F.struct(*cells)).alias(name)) for df, name in ((old, "old"), (new, "new")))
     both = o.join(n, key, "full_outer")
     counts = both.agg(
         F.count_if(F.col("old").isNull()).alias("n_added"),
@@ -84,12 +86,110 @@ def write_version(df: DataFrame, path: str) -> str:
     return where
 
 
+def kept_first(old: DataFrame, new: DataFrame, key: str, first: list[str]) -> DataFrame:
+    """``upserted``, but the columns ``first`` keep the value that they once had (as the time of processing does)."""
+    held = old.select(key, *[F.col(c).alias(f"_{c}") for c in first])
+    out = new.join(held, key, "left").withColumns({c: F.coalesce(f"_{c}", c) for c in first}).drop(*[f"_{c}" for c in first])
+    return upserted(old, out.select(new.columns), key)
+
+
+def migrated(df: DataFrame, columns: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Adds the columns (type, default) that an older table lacks, and fills nulls of those by the default."""
+    return df.withColumns({c: F.coalesce(F.col(c).cast(kind) if c in df.columns else F.lit(None).cast(kind), default.cast(kind)) for c, (kind, default) in columns.items()})
+
+
+def latest_record(records: DataFrame) -> DataFrame:
+    """The row of the largest id: those that begin with a digit by number, before others; then by time, then by id."""
+    number = F.when(F.col("post_id").rlike("^[0-9]"), F.regexp_extract("post_id", "^[0-9]+", 0).try_cast("decimal(38,0)"))
+    return records.orderBy(number.desc_nulls_last(), F.desc_nulls_last("posted_at"), F.desc("post_id")).limit(1)
+
+
+def record_order() -> list[Column]:
+    """Numeric ids first, the largest first; then the latest, then by id."""
+    number = F.when(F.col("post_id").rlike("^[0-9]+$"), F.col("post_id").try_cast("decimal(38,0)"))
+    return [number.isNull(), number.desc_nulls_last(), F.desc_nulls_last("posted_at"), F.desc("post_id")]
+
+
+def in_state_order(df: DataFrame, time: str, key: str) -> DataFrame:
+    return df.orderBy(F.asc_nulls_first(time), key)
+
+
+def read_public(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, errors) of published JSON, an array of objects a file. No file gives no rows and no error; a malformed one an error."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not spark._jsc or not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], schema), spark.createDataFrame([], "file string, error string")
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", f"array<struct<{re.sub(r'(^|, )([^ ]+) ', r'\1\2:', schema)}>>").alias("rows"))
+    errors = raw.filter("rows is null").select("file", F.lit("malformed JSON").alias("error"))
+    return raw.select(F.explode("rows").alias("r")).select("r.*"), errors
+
+
+def write_if_changed(df: DataFrame, counts: DataFrame, path: str) -> str | None:
+    """A new version of the archive, only where rows were added or updated; else None."""
+    told = counts.first()
+    return write_version(df, path) if told.n_added or told.n_updated else None
+
+
+def write_samples(df: DataFrame, path: str, order: list[str], most: int = 100) -> None:
+    """The first ``most`` rows as JSON, without secret-like fields: samples to look at, so the number is what they are."""
+    df.select(*scrubbed(df.schema)).orderBy(*order).limit(most).coalesce(1).write.mode("overwrite").json(path)
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the versions below a folder that were written to their end."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(top):
+        return []
+    names = [f.getPath() for f in files.listStatus(top)]
+    return sorted(int(p.getName().removeprefix("v=")) for p in names if p.getName().startswith("v=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def current(spark: SparkSession, path: str, schema: t.StructType | str, before: int | None = None) -> DataFrame:
+    """The latest version of a keyed table (or the latest before one)."""
+    found = [v for v in _versions(spark, path) if before is None or v < before]
+    return spark.read.schema(schema).parquet(f"{path}/v={found[-1]}") if found else spark.createDataFrame([], schema)
+
+
+def keyed_sink(path: str, key: str, order: list[str]):
+    """For ``foreachBatch``: merges a batch into the keyed table below ``path``, as a new version named by the batch.
+
+    Of rows of one key the last in order counts, of the batch and of what was there. A
+    batch that comes again reads the version before it and writes the same rows anew, so
+    nothing counts twice; readers of an older version aren't disturbed. One version holds
+    one row a key: what is kept grows with the keys, not with the rows that came.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        old = current(batch.sparkSession, path, batch.schema, number)
+        rows = old.unionByName(batch)
+        last = rows.groupBy(key).agg(F.max_by(F.struct(*batch.columns), F.struct(*order)).alias("r")).select("r.*")
+        last.write.mode("overwrite").parquet(f"{path}/v={number}")
+
+    return merge
+
+
 def scrubbed(schema: t.StructType, prefix: str = "") -> list[Column]:
-    """Columns of a schema without fields of secret-like names, at any depth of structs."""
-    out = []
-    for f in schema.fields:
-        if SECRET.search(f.name):
-            continue
-        name = f"{prefix}`{f.name}`"
-        out.append(F.struct(*scrubbed(f.dataType, name + ".")).alias(f.name) if isinstance(f.dataType, t.StructType) else F.col(name).alias(f.name))
-    return out
+    """Columns of a schema without fields of secret-like names, at any depth of structs, arrays and maps."""
+    return [_clean(F.col(f"{prefix}`{f.name}`"), f.dataType).alias(f.name) for f in schema.fields if not SECRET.search(f.name)]
+
+
+def _clean(value: Column, kind: t.DataType) -> Column:
+    if isinstance(kind, t.StructType):
+        fields = [f for f in kind.fields if not SECRET.search(f.name)]
+        return F.when(value.isNotNull(), F.struct(*[_clean(value.getField(f.name), f.dataType).alias(f.name) for f in fields])) if fields else F.lit(None).cast("string")
+    if isinstance(kind, t.ArrayType):
+        return F.transform(value, lambda x: _clean(x, kind.elementType))
+    if isinstance(kind, t.MapType):
+        open_ = F.map_filter(value, lambda k, _: ~F.lower(k.cast("string")).rlike(SECRET.pattern)) if isinstance(kind.keyType, t.StringType) else value
+        return F.transform_values(open_, lambda _, v: _clean(v, kind.valueType))
+    return value
+
+
+def secret_names(schema: t.DataType, prefix: str = "") -> list[str]:
+    """The secret-like field names of a schema, with their paths."""
+    if isinstance(schema, t.StructType):
+        return [x for f in schema.fields for x in ([prefix + f.name] if SECRET.search(f.name) else []) + secret_names(f.dataType, f"{prefix}{f.name}.")]
+    if isinstance(schema, t.ArrayType):
+        return secret_names(schema.elementType, prefix)
+    return secret_names(schema.valueType, prefix) if isinstance(schema, t.MapType) else []

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..operators.fold import EVENT, merge_posts
+from ..operators.publish import diff_rows, validation_summary
+from ..operators.summary import web_page
+from ..sources.shared import kept
+from ..sources.state import current, kept_first, write_version
+
 
 def read_files(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1000) -> DataFrame:
     """Parquet files of a folder as a stream."""
@@ -31,3 +37,36 @@ def sync(stream: DataFrame, checkpoint: str, merge: Callable[[DataFrame, int], N
 def windowed_counts(stream: DataFrame, time: str, kind: str, width: str, lateness: str) -> DataFrame:
     """Counts by event-time window and kind; an extension beside the sync."""
     return stream.withWatermark(time, lateness).groupBy(F.window(time, width), kind).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), kind, "n")
+
+
+def merge_into(path: str, as_of: str, words: tuple[str, ...] = ()) -> Callable[[DataFrame, int], None]:
+    """For ``sync``: folds a batch of posts (``fold.POST``) into the events below ``path``, as a version named by the batch.
+
+    The events are the state of the stream: what all earlier batches left. A batch that
+    comes again is folded into the version before it, so it counts once.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        events = current(batch.sparkSession, path, EVENT, number)
+        merge_posts(batch, events, as_of, words).write.mode("overwrite").parquet(f"{path}/v={number}")
+
+    return merge
+
+
+def backfill(posts: DataFrame, state: DataFrame, key: str, first: list[str]) -> DataFrame:
+    """Older posts put into the state without touching the cursor: known ids stay as they are, others are added."""
+    return kept_first(state, posts.join(state.select(key), key, "left_anti"), key, first)
+
+
+def refresh(events: DataFrame, published: DataFrame, as_of: Column, path: str, dry_run: bool = True) -> tuple[DataFrame, DataFrame, str | None]:
+    """(check, differences, folder): projects the events, checks the rows, compares them with what is published, and writes.
+
+    Nothing is written in a dry run, with rows in error, or where no row differs.
+    """
+    rows = kept(web_page(events, as_of))
+    told = validation_summary(rows)
+    differs = diff_rows(published, rows, "id", ["event_date", "event_name", "venue", "ticket_summary", "application_summary", "ticket_url"])
+    sound = told.first()
+    changed = differs.filter("change <> 'kept'").limit(1).count()
+    write = not dry_run and not sound.n_bad_rows and not sound.n_repeated_ids and changed
+    return told, differs, write_version(rows, path) if write else None

@@ -143,3 +143,68 @@ def test_best_match_is_that_of_all_pairs(spark):
             best[r.a_post_id] = min(best.get(r.a_post_id, (0, 0)), (-r.score, r.b_event_id))
     got = {r.post_id: (-r.score, r.event_id) for r in M.best_match(p, e).collect() if r.score >= 0.45}
     assert got == best and got["p60"] == (-1.0, 7) and len(got) > 20
+
+
+def test_state_keeps_what_came_first(spark, tmp_path):
+    from lumenry.sources import state as K
+
+    old = spark.createDataFrame([("1", "a", 10), ("2", "b", 20)], "post_id string, text string, processed_at int")
+    new = spark.createDataFrame([("2", "B", 99), ("3", "c", 30), ("3", "d", 31)], old.schema)
+    assert sorted(map(tuple, K.kept_first(old, new, "post_id", ["processed_at"]).collect())) == [("1", "a", 10), ("2", "B", 20), ("3", "d", 31)]
+    grown = K.migrated(old, {"source": ("string", F.lit("x")), "text": ("string", F.lit(""))})
+    assert [tuple(r) for r in grown.orderBy("post_id").collect()] == [("1", "a", 10, "x"), ("2", "b", 20, "x")]
+    ids = spark.createDataFrame([("9", 1), ("10", 1), ("zz", 5), ("10a", 7)], "post_id string, posted_at int")
+    assert K.latest_record(ids).first().post_id == "10a"
+    assert [r.post_id for r in ids.orderBy(*K.record_order()).collect()] == ["10", "9", "10a", "zz"]
+    merged, counts = K.archive_merge(old, old, "post_id", ["text"])
+    assert K.write_if_changed(merged, counts, str(tmp_path / "archive")) is None
+    merged, counts = K.archive_merge(old, new, "post_id", ["text"])
+    assert spark.read.parquet(K.write_if_changed(merged, counts, str(tmp_path / "archive"))).count() == 3
+
+
+def test_published_json_is_read_as_it_is(spark, tmp_path):
+    from lumenry.sources import state as K
+
+    rows, errors = K.read_public(spark, str(tmp_path / "none"), "id string, n int")
+    assert rows.count() == errors.count() == 0
+    (tmp_path / "good.json").write_text('[{"id": "a", "n": 1}, {"id": "b"}]')
+    (tmp_path / "bad.json").write_text("{oops")
+    rows, errors = K.read_public(spark, str(tmp_path / "*.json"), "id string, n int") if False else K.read_public(spark, str(tmp_path), "id string, n int")
+    assert sorted((r.id, r.n) for r in rows.collect()) == [("a", 1), ("b", None)]
+    assert [r.error for r in errors.collect()] == ["malformed JSON"]
+
+
+def test_keyed_sink_counts_a_batch_once(spark, tmp_path):
+    from lumenry.sources import state as K
+
+    path = str(tmp_path / "keyed")
+    sink = K.keyed_sink(path, "k", ["t"])
+    batch = lambda *rows: spark.createDataFrame(rows, "k int, t int, v string")
+    sink(batch((1, 1, "a"), (1, 2, "b"), (2, 1, "c")), 0)
+    sink(batch((1, 1, "late"), (3, 1, "d")), 1)
+    sink(batch((1, 1, "late"), (3, 1, "d")), 1)
+    assert sorted(map(tuple, K.current(spark, path, "k int, t int, v string").collect())) == [(1, 2, "b"), (2, 1, "c"), (3, 1, "d")]
+
+
+def test_secrets_in_arrays_and_maps(spark):
+    from lumenry.sources import state as K
+
+    df = spark.sql("SELECT array(named_struct('access_token', 'x', 'a', 1)) AS held, map('Secret', 1, 'open', 2) AS m, named_struct('bearer', 'b', 'in', named_struct('authorization', 1, 'z', 2)) AS s, 1 AS my_token")
+    assert K.secret_names(df.schema) == ["held.access_token", "s.bearer", "s.in.authorization", "my_token"]
+    out = df.select(*K.scrubbed(df.schema))
+    assert out.first().asDict(True) == {"held": [{"a": 1}], "m": {"open": 2}, "s": {"in": {"z": 2}}}
+
+
+def test_views(spark):
+    from lumenry.operators import report as Q
+
+    rows = spark.createDataFrame([(1, "2026-06-02", "b", "x", "2026-05-09"), (2, "2026-06-02", "a", "x", None), (3, None, "c", "y", "2026-05-01")], "event_id int, event_day string, event_name string, venue string, deadline_day string")
+    assert [r.event_id for r in Q.in_page_order(rows).collect()] == [2, 1, 3] and [r.event_id for r in Q.in_page_order(rows, "deadline").collect()] == [3, 1, 2]
+    assert [(r.day, r.event_ids) for r in Q.grouped(rows).collect()] == [("2026-06-02", [2, 1]), (None, [3])]
+    assert [r.day for r in Q.grouped(rows, "deadline").collect()] == ["2026-05-01", "2026-05-09", None]
+    entries = spark.createDataFrame([("d", "application", 1), ("d", "live", 2), ("e", "payment", 3), ("e", "application", 3)], "day string, kind string, event_id int")
+    assert [tuple(r) for r in Q.cell_entries(entries).collect()] == [("d", "live", 2), ("e", "application", 3)]
+    assert [tuple(r) for r in Q.cell_entries(entries, "payment").collect()] == [("e", "payment", 3)]
+    assert spark.range(1).select(Q.month_keys(F.lit("2026-11"), 3)).first()[0] == ["2026-11", "2026-12", "2027-01"]
+    day = spark.createDataFrame([("2026-02-30T1", "2026-03-01"), (None, "x"), ("2026-02-28T10:00", None)], "a string, b string").select(Q.deadline_day(F.col("a"), F.col("b")).cast("string")).collect()
+    assert [r[0] for r in day] == ["2026-03-01", None, "2026-02-28"]
