@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 import duckdb
 import pytest
 
-from lumenry.plans import catalog
+from lumenry.plans import catalog, rules  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -30,6 +32,9 @@ def test_query(spark, duck, name):
     rows = [tuple(r) for r in df.select(*[f"`{c}`" for c in columns]).collect()]
     if name not in catalog.SQL:
         assert rows
+        if name == "similarity_ratio":  # the ratio of the standard library, of each row
+            told = {r.p_partkey: (r.p_name.lower(), f"{r.p_type} {r.p_name}".lower()) for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
+            assert all(r.ratio == SequenceMatcher(None, *told[r.p_partkey]).ratio() for r in df.collect())
         return
     got = duck.execute(catalog.SQL[name])
     told = [d[0] for d in got.description]
