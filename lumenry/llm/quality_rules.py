@@ -145,7 +145,8 @@ def profiles(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
                 held, waiting = {}, 0
         yield from (summed_up(lang, *got) for lang, got in held.items())
 
-    summed = docs.mapInArrow(partial, "lang string, kind int, key long, value double").groupBy("lang", "kind", "key").agg(F.sum("value").alias("value"))
+    # written, as several steps read it: so the texts are measured once
+    summed = B.written(docs.mapInArrow(partial, "lang string, kind int, key long, value double").groupBy("lang", "kind", "key").agg(F.sum("value").alias("value")))
     pooled = summed.groupBy("kind", "key").agg(F.sum("value").alias("value")).select(F.lit(POOLED).alias("lang"), "kind", "key", "value")
     summed = summed.unionByName(pooled)
     by_part = Window.partitionBy("lang", F.pmod("key", F.lit(64))).orderBy(F.desc("value"), "key")
