@@ -18,8 +18,7 @@ from lumenry.llm.license_templates import TEMPLATES
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def test_components_with_hubs(spark, monkeypatch):
-    monkeypatch.setattr(graph, "HUB_EDGES", 5)
+def test_components_with_hubs(spark):
     rng = random.Random(1)
     edges = [(0, k) for k in range(1, 300)] + [(1000 + rng.randrange(400), 1000 + rng.randrange(400)) for _ in range(250)] + [(299, 900), (900, 5000), (7, 7)]
     parent = {}
