@@ -13,6 +13,7 @@ from ..operators import match as M
 from ..operators import posts as P
 from ..operators import publish as R
 from ..operators import report as Q
+from ..operators import sale_scan as C
 from ..operators import summary as U
 from ..sources import state as K
 from ..sources.shared import shared_folder
@@ -282,3 +283,18 @@ def classifier_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = df.withColumns({"event_date": F.when(k == 0, D.event_date(F.col("text"), F.to_date(F.lit("2026-04-01")))), "event_name": F.when(k == 0, "Night"), **_strings("venue", "ticket_url"), "has_time": F.lit(False), "has_performance": F.lit(False)})
     told = P.classify(df).withColumn("expected", F.when(F.col("k") == 1, "non_event").otherwise("event"))
     return Q.confusion(told, "expected", "classification")
+
+
+@_query(f"""SELECT event_id, '抽選' AS sale_type, t.tier AS ticket_tier, CASE t.tier WHEN '一般' THEN general_price ELSE priority_price END AS price, CAST(event_day - 9 AS VARCHAR) || 'T12:00:00' AS start_at,
+ CAST(event_day - 4 AS VARCHAR) || 'T01:30:00' AS deadline_at, CAST(event_day - 2 AS VARCHAR) || 'T18:00:00' AS result_at FROM {_SCHEDULE}, (SELECT unnest(['一般', 'VIP']) AS tier) t""")
+def sale_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A heading whose dates stand in the next line, once for each priced ticket; the result's day from a line of its own."""
+    s, day = schedule(spark, sf_dir), lambda n: F.date_format(F.date_sub("event_day", n), "M/d")
+    text = F.concat_ws(
+        "\n", F.lit("抽選受付"), F.concat(day(9), F.lit(" 12:00〜"), day(5), F.lit(" 25:30")), F.concat(F.lit("当落発表 "), day(2), F.lit(" 18:00")),
+        F.concat(F.lit("一般 "), F.format_number("general_price", 0), F.lit("円 / VIP "), F.format_number("priority_price", 0), F.lit("円")),
+    )
+    posted = F.col("posted_day").cast("timestamp") + F.expr("INTERVAL 3 HOURS")
+    posts = s.select("event_id", F.col("event_id").alias("post_id"), text.alias("text"), posted.alias("posted_at"), F.lit("other").alias("source_kind"), *[F.lit(None).cast("int").alias(c) for c in ("general_price", "priority_price", "same_day_price")], F.lit(None).cast("string").alias("priority_name"))
+    held = C.with_sales(X.with_details(posts)).select("event_id", F.explode("sales").alias("p"))
+    return held.select("event_id", "p.sale_type", "p.ticket_tier", "p.price", "p.start_at", "p.deadline_at", "p.result_at")
