@@ -227,10 +227,10 @@ def top_k(
         """The best of each group of candidate blocks for each query."""
         q_groups = -(-n_asked // QUERY_BLOCKS)
         every_of = lambda n, name: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(name)
-        group = lambda name, size: F.floor(F.col("block") / size).alias(name)
+        group = lambda name, n: F.pmod(F.col("block"), F.lit(n)).alias(name)
         columns = ["dims", "large", "ids", "vectors", "known"]
-        left = queries.select(group("qg", QUERY_BLOCKS), every_of(groups, "xg"), *columns).groupBy("qg", "xg")
-        right = candidates.select(group("xg", ROW_BLOCKS), every_of(q_groups, "qg"), *columns).groupBy("qg", "xg")
+        left = queries.select(group("qg", q_groups), every_of(groups, "xg"), *columns).groupBy("qg", "xg")
+        right = candidates.select(group("xg", groups), every_of(q_groups, "qg"), *columns).groupBy("qg", "xg")
         return left.cogroup(right).applyInArrow(meet, "query_id long, vec_id long, score long")
 
     def ranked(near: DataFrame) -> DataFrame:
@@ -240,7 +240,9 @@ def top_k(
     floors = met(_packed(asked, n_asked, scale), first, 1).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
     least = F.coalesce(F.when(F.col("n") >= k, F.col("least")), F.lit(LEAST)).alias("known")
     informed = asked.join(floors, asked["vec_id"] == floors["query_id"], "left").select("vec_id", "v", least)
-    return ranked(met(_packed(informed, n_asked, scale), blocks, -(-n_rows // ROW_BLOCKS)))
+    # groups of ROW_BLOCKS blocks, or smaller ones where these would be too few for all tasks
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ranked(met(_packed(informed, n_asked, scale), blocks, min(n_rows, max(-(-n_rows // ROW_BLOCKS), tasks))))
 
 
 def _matrices(table: pa.Table):
