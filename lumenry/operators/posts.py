@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of
+from ..functions.text import any_of, spaces
 
 # Words that decide what a post is, first match first.
 KINDS = (
@@ -23,8 +23,12 @@ POSITIVE = (
     "ticketdive", "tiget", "livepocket", "抽選", "先着", "一般販売", "当日券", "本日", "明日", "明後日",
 )
 NEGATIVE = ("グッズ", "goods", "通販", "music video", "楽曲配信", "サブスク", "写真", "オフショット", "ラジオ配信", "coming soon", "キャンペーン", "live digest", "新商品", "配信開始", "リリース", "自撮り")
-HARD = ("ラジオ配信", "coming soon", "comingsoon", "近日公開", "近日解禁", "キャンペーン", "music video", "musicvideo", "mv公開", "live digest", "livedigest", "御礼", "ありがとうございました")
-PROFILE = ("プロフィール", "自己紹介", "メンバー紹介")
+HARD = ("アンチコンプリート", "学力テスト", "直前sp", "ラジオ配信", "coming soon", "comingsoon", "近日公開", "近日解禁", "キャンペーン", "music video", "musicvideo", "mv公開", "live digest", "livedigest", "御礼", "ありがとうございました")
+SIGNING = ("ニックネーム", "サイン", "日付", "コメント")  # all of them
+PROFILE = ("プロフィール", "自己紹介", "メンバー紹介", "name┊", "name｜")
+THANKS, NO_THANKS = ("ありがとう",), ("チケット", "開場", "開演", "出演時間", "申込", "受付", "販売開始", "販売中")
+NOTICE, NO_NOTICE = ("お知らせ",), ("ライブ", "live", "公演", "出演", "チケット", "開場", "開演", "申込", "受付", "販売")
+TOLD_IN_TEXT = ("会場", "場所", "開場", "開演", "チケット", "出演時間", "特典会", "http", "livepocket", "tiget")
 IMAGE_ONLY = ("本日はこちら", "明日はこちら", "本日のライブはこちら", "明日のライブはこちら")
 TICKET_HOSTS = ("ticketdive.com", "t-dv.com", "tiget.net", "livepocket.jp", "ticketvillage.jp", "eplus.jp", "l-tike.com", "pia.jp", "zaiko.io")
 STREAM_HOSTS = ("nicovideo.jp", "youtube.com", "youtu.be", "twitcasting.tv")
@@ -89,21 +93,27 @@ def classify(posts: DataFrame, text: str = "text") -> DataFrame:
     Features: event_date, event_name, venue, ticket_url (null where absent), has_time,
     has_performance (boolean). The first rule that holds decides.
     """
-    t = F.lower(F.col(text))
+    t = F.lower(spaces(F.col(text)))
+    bare = F.regexp_replace(t, r"\s+", "")
     has = {c: F.col(c).isNotNull() for c in ("event_date", "event_name", "venue", "ticket_url")}
     features = [*has.values(), F.col("has_time"), F.col("has_performance")]
     structured = sum((f.cast("int") for f in features), F.lit(0))
     positive = sum((any_of(t, [w]).cast("int") for w in POSITIVE), F.lit(0))
     kind = source_kind(F.col(text))
     live = has["venue"] | has["ticket_url"] | F.col("has_time") | F.col("has_performance")
-    profile = t.rlike(r"\bprofile\s*0?[1-9]\b") | (any_of(t, PROFILE) & ~live)
-    hard = any_of(t, HARD)
+    profile = t.rlike(r"\bprofile\s*0?[1-9]\b") | bare.rlike("profile[0-9]+") | (any_of(t, PROFILE) & ~live)
+    signing = t.contains(SIGNING[0])
+    for word in SIGNING[1:]:
+        signing = signing & t.contains(word)
+    hard = any_of(t, HARD) | any_of(bare, HARD) | signing
+    seller = any_of(t, TICKET_HOSTS)
+    nothing = any_of(t, NEGATIVE) | (any_of(t, THANKS) & ~any_of(t, NO_THANKS)) | (any_of(t, NOTICE) & ~any_of(t, NO_NOTICE))
     rules = (
         (profile, "non_event", "high"),
         (hard, "non_event", "high"),
         (t.contains("live schedule digest") & ~(has["event_date"] | has["venue"] | F.col("has_time") | has["ticket_url"]), "non_event", "high"),
-        (any_of(t, NEGATIVE) & ~live, "non_event", "high"),
-        (any_of(t, IMAGE_ONLY) & (structured < 3), "needs_review", "low"),
+        (nothing & ~live & ~seller, "non_event", "high"),
+        (any_of(bare, IMAGE_ONLY) & ~any_of(t, TOLD_IN_TEXT) & (structured < 3), "needs_review", "low"),
         (has["ticket_url"] & ~has["event_date"] & ~has["event_name"], "needs_review", "low"),
         (kind.isin("timetable_update", "correction") & (structured < 2), "needs_review", "low"),
         ((structured >= 3) | (has["event_date"] & (has["event_name"] | has["venue"] | has["ticket_url"])), "event", "high"),
