@@ -124,6 +124,13 @@ def read_public(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
     return raw.select(F.explode("rows").alias("r")).select("r.*"), errors
 
 
+def read_labelled(spark: SparkSession, path: str, labels: str) -> DataFrame:
+    """Labelled examples: posts as ``read_posts`` reads them, with the object ``expected`` (fields: ``labels``) of each file."""
+    raw = spark.read.text(path, wholetext=True)
+    found = F.from_json("value", f"struct<post:struct<id:string,text:string,created_at:string>,expected:struct<{re.sub(r'(^|, )([^ ]+) ', r'\1\2:', labels)}>>")
+    return raw.select(found.alias("f")).filter("f.post.id is not null").select(F.col("f.post.id").alias("post_id"), F.col("f.post.text").alias("text"), F.try_to_timestamp("f.post.created_at").alias("posted_at"), "f.expected")
+
+
 def write_if_changed(df: DataFrame, counts: DataFrame, path: str) -> str | None:
     """A new version of the archive, only where rows were added or updated; else None."""
     told = counts.first()
