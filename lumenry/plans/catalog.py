@@ -141,7 +141,7 @@ def source_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def classify_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six kinds of posts, one of each rule family."""
     k = F.pmod("event_id", F.lit(6))
-    texts = ("メンバー紹介", "本日はこちら", "ライブ 会場", "ライブ チケット", "変更のお知らせ", "今度ね")
+    texts = ("メンバー紹介", "本日はこちら", "ライブ 会場", "ライブ チケット", "開演時間の変更", "今度ね")
     df = table(spark, sf_dir, "events").select(
         "event_id",
         F.element_at(F.array(*map(F.lit, texts)), k.cast("int") + 1).alias("text"),
