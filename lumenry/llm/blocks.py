@@ -60,6 +60,11 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
+def made_table(spark: SparkSession, table: str, path: str) -> None:
+    """Notes a table whose files lie at ``path``, a name from ``shared_folder``."""
+    _made[spark.sparkContext.applicationId].append((table, path))
+
+
 def clean_up(spark: SparkSession) -> int:
     """Drops the tables and deletes the folders that this module made in the session's application; for when all results are written."""
     made = _made.pop(spark.sparkContext.applicationId, [])

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe
 from .html_text import html_text
+from .lexical_search import lexical_search
 from .license_scan import license_scan
+from .merkle import manifest
 from .mixing import mix_sources
 from .ngram_join import ngram_join
 from .perplexity import quality_classifier
@@ -15,6 +17,7 @@ from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
 from .topk import top_k
 from .toxicity import toxicity
+from .warc import archived
 
 VOCABULARY = "word_bpe_49k.json"
 #: The mixture: domains (which the test tables only imply, by the number in a source's name), languages, sources.
@@ -76,6 +79,18 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(_table(spark, sf_dir, "documents"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_substring_dedup": op2_substring_dedup,
@@ -87,6 +102,9 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_topk": op9_topk,
     "op10_ngram_join": op10_ngram_join,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_merkle": op12_merkle,
+    "op13_warc": op13_warc,
 }
 
 SQL: dict[str, str] = {
@@ -114,4 +132,45 @@ WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
  r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(m, w.doc_id)) AS component_id, coalesce(k, 0) AS n_links
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY 1) USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS k FROM l GROUP BY 1) USING (doc_id)""",
+    "op11_lexical_search": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+ b AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+ q AS (SELECT item_id, term, CAST(count(*) AS BIGINT) AS times FROM b GROUP BY ALL),
+ g AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(ws)) AS BIGINT) AS n_terms FROM d WHERE len(ws) > 0),
+ p AS (SELECT r, doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, doc_id, CAST(len(ws) AS BIGINT) AS n, unnest(ws) AS term FROM d) SEMI JOIN q USING (term) GROUP BY ALL),
+ w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), g),
+ s AS (SELECT item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM p JOIN w USING (term) JOIN q USING (term), g GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r) AS rank FROM s WHERE score > 0) WHERE rank <= 20""",
+    "op12_merkle": r"""
+WITH RECURSIVE f AS (SELECT row_number() OVER () AS r, doc_id, source, text,
+  concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head,
+  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+  xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+   lambda c, b: list_reduce(list_prepend(xor(c, b), [CAST(0 AS BIGINT) FOR i IN range(8)]), lambda x, y: xor(x >> 1, CASE WHEN x % 2 = 1 THEN CAST(3988292384 AS BIGINT) ELSE 0 END))), CAST(4294967295 AS BIGINT)) AS crc FROM documents),
+ l AS (SELECT r, doc_id, source, sha256(concat(head, coalesce(strlen(text) || ':' || text, '-'))) AS leaf,
+  CASE WHEN doc_id IS NOT NULL AND crc % 5 = 0 THEN sha256(concat(head, coalesce(strlen(low) || ':' || low, '-'))) END AS altered FROM f),
+ o AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+ low AS (SELECT 0 AS level, tree, pos, leaf AS h, count(*) OVER (PARTITION BY tree) AS width FROM o
+  UNION ALL SELECT level + 1, tree, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (any_value(width) + 15) // 16 FROM low WHERE width > 1 GROUP BY level, tree, pos // 16),
+ top AS (SELECT tree, h AS subroot FROM low WHERE width = 1),
+ high AS (SELECT 0 AS level, tree AS pos, subroot AS h, count(*) OVER () AS width FROM top
+  UNION ALL SELECT level + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (any_value(width) + 15) // 16 FROM high WHERE width > 1 GROUP BY level, pos // 16),
+ root AS (SELECT h AS root FROM high WHERE width = 1),
+ depth AS (SELECT tree, max(level) AS deep FROM low GROUP BY tree),
+ steps AS (SELECT r, level AS step, low.pos AS p, CAST(o.pos // CAST(pow(16, level) AS BIGINT) AS BIGINT) AS mine, h FROM o JOIN low USING (tree) WHERE width > 1 AND low.pos // 16 = o.pos // CAST(pow(16, level + 1) AS BIGINT)
+  UNION ALL SELECT r, deep + level, high.pos, tree // CAST(pow(16, level) AS BIGINT), h FROM o JOIN depth USING (tree) JOIN high ON width > 1 AND high.pos // 16 = tree // CAST(pow(16, level + 1) AS BIGINT)),
+ sides AS (SELECT r, step, coalesce(string_agg(h, '' ORDER BY p) FILTER (p < mine), '') AS a, coalesce(string_agg(h, '' ORDER BY p) FILTER (p > mine), '') AS b FROM steps GROUP BY r, step),
+ proof AS (SELECT r, sha256(string_agg(concat(a, b), '' ORDER BY step)) AS proof FROM sides GROUP BY r),
+ fold AS (SELECT r, 0 AS step, coalesce(altered, leaf) AS h FROM o
+  UNION ALL SELECT r, step + 1, sha256(concat(a, h, b)) FROM fold JOIN sides USING (r, step)),
+ done AS (SELECT r, arg_max(h, step) AS folded FROM fold GROUP BY r)
+SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM o JOIN top USING (tree) JOIN done USING (r) LEFT JOIN proof USING (r), root""",
+    "op13_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+ d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+ f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to FROM f""",
 }
