@@ -1,25 +1,13 @@
-"""Folding posts into events, in the order in which they were posted.
-
-What a post changes depends on what earlier posts left, so a fold is sequential; but only
-within posts that could meet. Posts are grouped by connected block keys (URL, day, name
-with venue), and each group is folded on its own, in parallel with the others.
-"""
+"""The fold of sure updates alone."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fields that a reminder or an unsure match only fills in, and that a manual override freezes.
-PROTECTED = ("event_name", "venue", "open_time", "start_time", "performance_time", "ticket_url", "general_price", "priority_price", "same_day_price")
-FREE = ("status", "notes")
-REMINDERS = ("same_day_reminder", "day_before_reminder")
-INSERT, UNSURE = 0.45, 0.72
-
 
 def latest_fields(updates: DataFrame, key: str, order: list[str], fields: list[str]) -> DataFrame:
-    """The last value that isn't null of each field, in order, for each key: the fold of sure updates, without a sort.
+    """The last value that isn't null of each field, in order, for each key, without a sort.
 
     A grouped maximum of (order, value) is combined before it is shuffled, so a key of very
     many updates is no hot spot.
@@ -29,38 +17,3 @@ def latest_fields(updates: DataFrame, key: str, order: list[str], fields: list[s
         return newest["v"].alias(c)
 
     return updates.groupBy(key).agg(*[last(c) for c in fields], F.count("*").alias("n_updates"))
-
-
-def fold_posts(posts: DataFrame, group: str, schema: str) -> DataFrame:
-    """Events of each group of posts: one row an event, after all its posts.
-
-    posts: post_id, posted_at, source_kind, event_date, match (the key of the event that a
-    post is about, or null), score, and the fields above. A score under INSERT makes an event of its own, one under UNSURE fills
-    blanks and asks for review, a better one overwrites what it names. The state of a group
-    is its events, so memory is bounded by the largest group.
-    """
-    fields = [*PROTECTED, *FREE]
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        events: dict = {}
-        for row in rows.sort_values(["posted_at", "post_id"]).to_dict("records"):
-            new = {f: None if pd.isna(row[f]) else row[f] for f in fields}
-            key, score = row["match"], row["score"]
-            event = None if pd.isna(key) else events.get(key)
-            if event is None or score < INSERT:
-                key = row["post_id"] if pd.isna(key) or key in events else key
-                events[key] = {**new, "event_key": str(key), "event_date": row["event_date"], "needs_review": bool(event is not None and score > 0), "post_ids": [row["post_id"]], "first_at": row["posted_at"], "latest_at": row["posted_at"]}
-                continue
-            careful = score < UNSURE or row["source_kind"] in REMINDERS
-            for f in fields:
-                if new[f] is not None and (f in FREE or event[f] is None or not careful):
-                    if row["source_kind"] in ("sold_out",) and f.endswith("price"):
-                        continue
-                    event[f] = new[f]
-            event["needs_review"] |= score < UNSURE
-            if row["post_id"] not in event["post_ids"]:
-                event["post_ids"].append(row["post_id"])
-            event["latest_at"] = max(event["latest_at"], row["posted_at"])
-        return pd.DataFrame(list(events.values()))[[c.strip().split()[0] for c in schema.split(",")]]
-
-    return posts.groupBy(group).applyInPandas(fold, schema)

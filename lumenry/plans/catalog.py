@@ -211,22 +211,6 @@ def merge_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.latest_fields(updates, "user_id", ["ts"], ["event_type", "value"])
 
 
-@_query("""SELECT user_id AS "group", CAST(min_by(event_id, ts) AS VARCHAR) AS event_key, arg_max(event_type, ts) AS notes, count(*) AS n_posts FROM events GROUP BY user_id""")
-def merge_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All posts of a user about one event, folded in order."""
-    e = table(spark, sf_dir, "events")
-    first = e.groupBy("user_id").agg(F.min_by("event_id", "ts").alias("match"))
-    none = lambda c: F.lit(None).cast("string").alias(c)
-    rows = e.join(first, "user_id").select(
-        F.col("user_id").alias("group"), F.col("event_id").cast("string").alias("post_id"), F.col("ts").alias("posted_at"), F.lit("ticket_update").alias("source_kind"), F.to_date("ts").alias("event_date"),
-        F.col("match").cast("string").alias("match"), F.lit(1.0).alias("score"), *[none(c) for c in G.PROTECTED], none("status"), F.col("event_type").alias("notes"),
-    )
-    schema = "event_key string, notes string, needs_review boolean, post_ids array<string>"
-    out = G.fold_posts(rows, "group", schema)
-    key = e.select(F.col("event_id").cast("string").alias("event_key"), F.col("user_id").alias("group"))
-    return out.join(key, "event_key").select("group", "event_key", "notes", F.size("post_ids").cast("long").alias("n_posts"))
-
-
 _PERIODS = """(SELECT l_orderkey AS event_id, CAST(l_shipdate AS DATE) - 10 AS start_at, CAST(l_shipdate AS DATE) AS deadline_at,
  CASE l_returnflag WHEN 'A' THEN '抽選' WHEN 'N' THEN '一般' ELSE '当日券' END AS sale_type FROM lineitem)"""
 

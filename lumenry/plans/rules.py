@@ -16,7 +16,8 @@ from ..operators import report as Q
 from ..operators import sale_scan as C
 from ..operators import summary as U
 from ..sources import state as K
-from ..sources.shared import shared_folder
+from ..sources.shared import kept, shared_folder
+from ..streaming import calendar as Z
 from ..streaming import sync as Y
 from .catalog import _DAYS, _ENTRIES, _SCHEDULE, TODAY, _days, _query
 from .synth import schedule, table
@@ -45,6 +46,8 @@ def match_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.col("a_event_id").alias("a"), M.match_score("a_", "b_", kind, F.lit(False)).alias("score"))
 
 
+#: Columns of events that these posts leave empty.
+_EMPTY = ("performance_time", "benefit_time", "priority_name", "priority_price", "same_day_price", "application_start_at", "application_deadline_at", "lottery_result_at", "payment_deadline_at", "ticket_sale_type", "open_time")
 _USER_POSTS = """(SELECT *, event_type = 'error' AS gone, event_type = 'signup' AS reminds, row_number() OVER (PARTITION BY user_id ORDER BY strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), lpad(CAST(event_id AS VARCHAR), 12, '0')) AS n FROM events)"""
 
 
@@ -64,31 +67,53 @@ def _user_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select([columns[c].alias(c) for c in names])
 
 
-@_query(f"""WITH p AS (SELECT *, CASE WHEN value >= 10 THEN CAST(floor(value) AS INTEGER) END AS price, CASE WHEN value < 20 THEN event_type END AS note FROM {_USER_POSTS}),
- f AS (SELECT user_id, lpad(CAST(event_id AS VARCHAR), 12, '0') AS event_id, price AS p0 FROM p WHERE n = 1),
- u AS (SELECT p.user_id, p.n, p.price FROM p WHERE n > 1 AND NOT gone AND NOT reminds AND price IS NOT NULL),
+_MERGED = f"""WITH p AS (SELECT *, CAST(user_id AS VARCHAR) AS u, lpad(CAST(event_id AS VARCHAR), 12, '0') AS pid, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS posted, CASE WHEN value >= 10 THEN CAST(floor(value) AS INTEGER) END AS price,
+  CASE WHEN value < 20 THEN event_type END AS note, CASE WHEN gone THEN 'sold_out' WHEN reminds THEN 'same_day_reminder' ELSE 'ticket_update' END AS kind FROM {_USER_POSTS}),
+ f AS (SELECT user_id, pid AS event_id, price AS p0 FROM p WHERE n = 1),
+ s AS (SELECT p.user_id, p.n, p.price FROM p WHERE n > 1 AND NOT gone AND NOT reminds AND price IS NOT NULL),
  r AS (SELECT p.user_id, min(p.n) AS n FROM p WHERE reminds AND n > 1 AND price IS NOT NULL GROUP BY 1),
- lastu AS (SELECT user_id, max(n) AS n, arg_max(price, n) AS price, min(n) AS first_n FROM u GROUP BY 1)
-SELECT f.event_id, coalesce(lastu.price, f.p0, (SELECT price FROM p x WHERE x.user_id = f.user_id AND x.n = r.n)) AS general_price, t.notes, t.n_merged, t.needs_review, t.ticket_status, t.start_time, t.latest_kind
-FROM f LEFT JOIN lastu USING (user_id) LEFT JOIN r ON r.user_id = f.user_id JOIN (SELECT user_id, arg_max(note, n) FILTER (WHERE note IS NOT NULL) AS notes, CAST(count(*) AS INTEGER) AS n_merged, coalesce(bool_or(gone AND n > 1), false) AS needs_review,
-  CASE WHEN bool_or(gone) THEN 'sold_out' END AS ticket_status, CASE WHEN max(value) >= 60 THEN '18:00' END AS start_time, arg_max(CASE WHEN gone THEN 'sold_out' WHEN reminds THEN 'same_day_reminder' ELSE 'ticket_update' END, n) AS latest_kind FROM p GROUP BY 1) t ON t.user_id = f.user_id""")
+ last_sure AS (SELECT user_id, arg_max(price, n) AS price FROM s GROUP BY 1),
+ t AS (SELECT user_id, u, arg_max(note, n) FILTER (WHERE note IS NOT NULL) AS notes, CAST(count(*) AS INTEGER) AS n_merged, coalesce(bool_or(gone AND n > 1), false) AS needs_review, CASE WHEN bool_or(gone) THEN 'sold_out' END AS ticket_status,
+  CASE WHEN max(value) >= 60 THEN '18:00' END AS start_time, arg_max(kind, n) AS latest_kind, max(posted) AS latest_posted_at, string_agg(pid, ',' ORDER BY n) AS post_ids,
+  string_agg(posted || ' ' || kind || ' https://x.com/' || u, chr(10) ORDER BY n) AS source_summary, CAST(DATE '2030-01-01' + CAST(user_id AS INTEGER) AS VARCHAR) AS day FROM p GROUP BY user_id, u)
+SELECT f.event_id, coalesce(last_sure.price, f.p0, (SELECT price FROM p x WHERE x.user_id = f.user_id AND x.n = r.n)) AS general_price, t.notes, t.n_merged, t.needs_review, t.ticket_status, t.start_time, t.latest_kind, t.latest_posted_at, t.post_ids, t.source_summary,
+ t.day AS event_date, t.day AS event_dates, 'NIGHT ' || md5(t.u) AS event_name, 'Hall ' || (t.user_id % 9) AS venue, 'https://tiget.net/' || t.u AS ticket_url, 'https://x.com/' || t.u AS source_urls, 'https://x.com/' || t.u AS latest_source_url,
+ '' AS source_text, false AS manual_override, CAST(0 AS INTEGER) AS n_sales, {", ".join(f"CAST(NULL AS VARCHAR) AS {c}" for c in _EMPTY)}
+FROM f LEFT JOIN last_sure USING (user_id) LEFT JOIN r ON r.user_id = f.user_id JOIN t ON t.user_id = f.user_id"""
+
+
+def _flat(events: DataFrame) -> DataFrame:
+    """All columns of events, lists as texts."""
+    joined = {c: F.array_join(c, ",") for c in ("post_ids", "source_urls", "event_dates")}
+    return events.withColumns(joined | {"n_sales": F.size("sales")} | {c: F.col(c).cast("string") for c in _EMPTY}).drop("sales")
+
+
+@_query(_MERGED)
 def merge_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts folded into events: who overwrites, who only fills blanks, what a sold-out post leaves alone."""
-    out = G.merge_posts(_user_posts(spark, sf_dir), None, AS_OF)
-    return out.select("event_id", "general_price", "notes", "n_merged", "needs_review", "ticket_status", "start_time", "latest_kind")
+    return _flat(G.merge_posts(_user_posts(spark, sf_dir), None, AS_OF))
 
 
-@_query("""SELECT lpad(CAST(event_id AS VARCHAR), 12, '0') AS event_id, n AS n_merged FROM (SELECT min_by(event_id, ts) AS event_id, CAST(count(*) AS INTEGER) AS n FROM events GROUP BY user_id)""")
+@_query(_MERGED)
 def merge_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same posts as a stream of batches, the events kept as its state; as many posts an event as in one fold."""
+    """The same posts as a stream that is stopped and goes on, in batches of any order: the same events as in one fold."""
     where = shared_folder(spark, "merge")
-    posts = _user_posts(spark, sf_dir)
-    posts.repartition(3, F.substring("posted_at", 1, 10)).write.parquet(f"{where}/posts")
-    stream = Y.read_files(spark, f"{where}/posts", posts.schema, files_per_batch=2)
-    Y.sync(stream, f"{where}/checkpoint", Y.merge_into(f"{where}/events", AS_OF)).awaitTermination()
-    held = K.current(spark, f"{where}/events", G.EVENT)
-    # batches come in any order, so an event's id is that of any post; its first post is in post_ids
-    return held.select(F.array_min("post_ids").alias("event_id"), "n_merged")
+    posts = kept(_user_posts(spark, sf_dir))
+    half = F.pmod(F.xxhash64("post_id"), F.lit(2))
+    sign = posts.limit(1).select([F.date_format(F.to_timestamp(F.lit("2100-01-01")), "yyyy-MM-dd'T'HH:mm:ss").alias(c) if c == "posted_at" else F.lit(None).cast(kind).alias(c) for c, kind in posts.dtypes])
+    for rows in (posts.filter(half == 0), posts.filter(half == 1), sign):  # the last tells that time has passed
+        rows.coalesce(2).write.mode("append").parquet(f"{where}/posts")
+        stream = Y.read_files(spark, f"{where}/posts", posts.schema, files_per_batch=2)
+        Z.place_stream(stream, F.col("ticket_url"), f"{where}/log", f"{where}/checkpoint").awaitTermination()
+    return _flat(Z.events_of(spark, posts, f"{where}/log", AS_OF))
+
+
+@_query("""SELECT user_id AS "group", CAST(min_by(event_id, ts) AS VARCHAR) AS event_key, arg_max(event_type, ts) AS notes, count(*) AS n_posts FROM events GROUP BY user_id""")
+def merge_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All posts of a user about one event, folded in order: the last note."""
+    posts = _user_posts(spark, sf_dir).drop("notes").join(table(spark, sf_dir, "events").select(F.lpad(F.col("event_id").cast("string"), 12, "0").alias("post_id"), F.col("event_type").alias("notes")), "post_id")
+    out = G.merge_posts(posts, None, AS_OF)
+    return out.select(F.substring_index("ticket_url", "/", -1).cast("long").alias("group"), F.col("event_id").cast("long").cast("string").alias("event_key"), "notes", F.size("post_ids").cast("long").alias("n_posts"))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,12 +9,13 @@ from ..sources.shared import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the test data; one of fewer splits than there are cores is dealt anew, as costly expressions follow."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One event for each order: customer (by a digest, so no two names are alike) and segment give the name, the nation the hall, the total the price."""
-    orders = spread(table(spark, sf_dir, "orders")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return orders.select(
         F.col("o_orderkey").alias("event_id"),
         F.to_date("o_orderdate").alias("event_day"),

@@ -1,4 +1,4 @@
-"""Incremental sync: new posts in micro-batches, each once, merged into the kept state."""
+"""Incremental sync: new posts in micro-batches, each once, put into the kept state (merging them: ``calendar``)."""
 
 from __future__ import annotations
 
@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.fold import EVENT, merge_posts
 from ..operators.publish import diff_rows, validation_summary
 from ..operators.summary import web_page
 from ..sources.shared import kept
-from ..sources.state import current, kept_first, write_version
+from ..sources.state import kept_first, write_version
 
 
 def read_files(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1000) -> DataFrame:
@@ -39,20 +38,6 @@ def windowed_counts(stream: DataFrame, time: str, kind: str, width: str, latenes
     return stream.withWatermark(time, lateness).groupBy(F.window(time, width), kind).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), kind, "n")
 
 
-def merge_into(path: str, as_of: str, words: tuple[str, ...] = ()) -> Callable[[DataFrame, int], None]:
-    """For ``sync``: folds a batch of posts (``fold.POST``) into the events below ``path``, as a version named by the batch.
-
-    The events are the state of the stream: what all earlier batches left. A batch that
-    comes again is folded into the version before it, so it counts once.
-    """
-
-    def merge(batch: DataFrame, number: int) -> None:
-        events = current(batch.sparkSession, path, EVENT, number)
-        merge_posts(batch, events, as_of, words).write.mode("overwrite").parquet(f"{path}/v={number}")
-
-    return merge
-
-
 def backfill(posts: DataFrame, state: DataFrame, key: str, first: list[str]) -> DataFrame:
     """Older posts put into the state without touching the cursor: known ids stay as they are, others are added."""
     return kept_first(state, posts.join(state.select(key), key, "left_anti"), key, first)

@@ -11,7 +11,6 @@ from lumenry.functions import dates as D
 from lumenry.functions import text as T
 from lumenry.operators import extract as X
 from lumenry.operators import match as M
-from lumenry.operators import merge as G
 from lumenry.operators import publish as R
 from lumenry.sources import state as K
 
@@ -57,23 +56,6 @@ def test_extract_handles_absent_fields(spark):
     assert (rows[3].event_name, rows[3].open_time, rows[3].start_time) == ("A", "17:30", "18:00")
 
 
-def test_fold_keeps_protected_fields_of_reminders(spark):
-    cells = {c: None for c in (*G.PROTECTED, *G.FREE)}
-    base = {"group": 1, "event_date": dt.date(2024, 5, 3), "match": None, "score": 0.0, "source_kind": "initial_announcement", **cells}
-    rows = [
-        {**base, "post_id": "a", "posted_at": dt.datetime(2024, 5, 1), "event_name": "Live", "open_time": "17:00", "status": "on_sale"},
-        {**base, "post_id": "b", "posted_at": dt.datetime(2024, 5, 2), "match": "a", "score": 0.9, "source_kind": "same_day_reminder", "open_time": "18:00", "venue": "Hall", "status": "sold_out"},
-        {**base, "post_id": "c", "posted_at": dt.datetime(2024, 5, 3), "match": "a", "score": 0.9, "source_kind": "correction", "open_time": "18:30"},
-        {**base, "post_id": "d", "posted_at": dt.datetime(2024, 5, 4), "match": "a", "score": 0.3, "event_name": "Other"},
-    ]
-    schema = "group long, event_date date, match string, score double, source_kind string, post_id string, posted_at timestamp, " + ", ".join(f"{c} string" for c in cells)
-    names = [x.split()[0] for x in schema.split(", ")]
-    df = spark.createDataFrame([tuple(r[n] for n in names) for r in rows], schema)
-    out = {r.event_key: r for r in G.fold_posts(df, "group", "event_key string, event_name string, open_time string, venue string, status string, needs_review boolean, post_ids array<string>").collect()}
-    assert (out["a"].open_time, out["a"].venue, out["a"].status, out["a"].post_ids) == ("18:30", "Hall", "sold_out", ["a", "b", "c"])
-    assert out["d"].needs_review
-
-
 def test_empty_and_repeated(spark):
     empty = spark.createDataFrame([], "event_id long, event_date date, event_dates array<date>")
     assert R.occurrences(empty).count() == 0
