@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, LongType, MapType, StructField, StructType
 
 from .words import small_batches
 
@@ -170,12 +170,13 @@ def unpacked(held: bytes, bits: int) -> np.ndarray:
 
 
 def sparse(values: np.ndarray) -> bytes:
-    """Numbers below 2^32, most of them 0: which ones aren't, their values up to 254, and the larger ones."""
+    """Numbers below 2^63, most of them 0: which ones aren't, their values up to 253, and the larger ones in four bytes or eight."""
     flat = values.ravel()
     some = flat[flat > 0]
-    large = some[some > 254]
+    wide = some >= 2**32
+    sizes = np.where(wide, 255, np.minimum(some, 254)).astype(np.uint8)
     head = np.array([len(flat), len(some)], "<u4")
-    return squeezed(head.tobytes() + np.packbits(flat > 0).tobytes() + np.minimum(some, 255).astype(np.uint8).tobytes() + large.astype("<u4").tobytes())
+    return squeezed(head.tobytes() + np.packbits(flat > 0).tobytes() + sizes.tobytes() + some[wide].astype("<u8").tobytes() + some[(some > 253) & ~wide].astype("<u4").tobytes())
 
 
 def dense(held: bytes, rows: int = 1) -> np.ndarray:
@@ -184,8 +185,14 @@ def dense(held: bytes, rows: int = 1) -> np.ndarray:
     size, n = np.frombuffer(data, "<u4", 2)
     at = 8 + (int(size) + 7) // 8
     where = np.unpackbits(np.frombuffer(data, np.uint8, at - 8, 8), count=int(size)).astype(bool)
-    some = np.frombuffer(data, np.uint8, int(n), at).astype(np.int64)
-    some[some == 255] = np.frombuffer(data, "<u4", -1, at + int(n)) if len(data) > at + n else 0
+    sizes = np.frombuffer(data, np.uint8, int(n), at)
+    some = sizes.astype(np.int64)
+    at += int(n)
+    for mark, kind in ((255, "<u8"), (254, "<u4")):
+        chosen = sizes == mark
+        if count := int(chosen.sum()):
+            some[chosen] = np.frombuffer(data, kind, count, at)
+            at += count * int(kind[2])
     out = np.zeros(int(size), np.int64)
     out[where] = some
     return out.reshape(rows, -1)
@@ -205,6 +212,15 @@ def restored(held: bytes, rows: int = 1) -> np.ndarray:
 CODECS = {"sparse": (sparse, dense), "plain": (plain, restored)}
 
 
+def nullable(kind: DataType) -> DataType:
+    """A type of the same fields whose values, at any depth, may be null; as tasks return them."""
+    if isinstance(kind, StructType):
+        return StructType([StructField(f.name, nullable(f.dataType), True, f.metadata) for f in kind.fields])
+    if isinstance(kind, ArrayType):
+        return ArrayType(nullable(kind.elementType), True)
+    return MapType(kind.keyType, nullable(kind.valueType), True) if isinstance(kind, MapType) else kind
+
+
 @dataclass(frozen=True)
 class Extra:
     """Values that go along with each key: ``rows`` numbers of it."""

@@ -73,7 +73,7 @@ def _shared(keys: list[np.ndarray], sent: list[np.ndarray], mark: int) -> list[b
     rank = np.cumsum(has) - np.repeat((np.cumsum(has) - has)[first], runs)
     sums[mark] = 2 * sums[mark] + (has & (rank == 1))
     out = np.empty(values.shape, np.int64)
-    out[:, order] = np.minimum(sums, 2**32 - 1)
+    out[:, order] = sums
     return [B.sparse(x) for x in B.split_at(out, keys)]
 
 

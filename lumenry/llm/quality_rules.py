@@ -242,16 +242,18 @@ def quality_rules(
 
 def keep_good(docs: DataFrame, limits: Limits = Limits(), text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs``, as they are, that ``quality_rules`` keeps; judged in the same pass that reads them."""
-    texts = W.small_batches(docs).withColumns({"_text": F.col(text_col).cast("string"), "_lang_of": F.col(lang_col).cast("string")})
-    texts, held, pooled = _judged(texts, "_text", "_lang_of", limits)
+    whole = B.nullable(docs.schema)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).cast(whole).alias("row")  # so no name of theirs meets one of ours
+    texts = W.small_batches(docs).select(row, F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    texts, held, pooled = _judged(texts, "text", "lang", limits)
     judge = _judge(pooled, limits)
-    columns = docs.columns
 
     def run(batches):
-        for batch in W.chunks(batches, "_text", CHUNK):
-            yield batch.select(columns).filter(judge(batch.column("_text"), batch.column("_lang_of"), held(batch))["kept"])
+        for batch in W.chunks(batches, "text", CHUNK):
+            kept = judge(batch.column("text"), batch.column("lang"), held(batch))["kept"]
+            yield pa.RecordBatch.from_struct_array(batch.column("row").filter(kept))
 
-    return texts.mapInArrow(run, docs.schema)
+    return texts.mapInArrow(run, whole)
 
 
 def _judge(pooled: tuple | None, limits: Limits):

@@ -127,7 +127,7 @@ def substring_dedup(
     texts = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(text_col).cast("string").alias("text"),
-        *([F.struct(*carry).alias("row")] if carry else []),
+        *([F.struct(*[F.col(f"`{c}`") for c in carry]).cast(B.nullable(docs.select(*[F.col(f"`{c}`") for c in carry]).schema)).alias("row")] if carry else []),
     )
     held = B.write_blocks(texts, block_bytes)
     light = held.select("block", "doc_id", "text")
@@ -137,7 +137,7 @@ def substring_dedup(
         last = k == len(levels)
         got = B.written(B.answer(_asks(light, known, levels, k, route), route, k, _holds_first if last else B.repeated, OWNED if last else None))
         known = got if known is None else known.unionByName(got)
-    schema = StructType([*StructType.fromDDL(RESULT).fields, *(f for f in texts.schema.fields if f.name == "row")])
+    schema = StructType([*StructType.fromDDL(RESULT).fields, *(f for f in B.nullable(texts.schema).fields if f.name == "row")])
     return _cogrouped(held, known, _result(levels), schema)
 
 
