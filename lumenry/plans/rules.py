@@ -15,6 +15,8 @@ from ..operators import publish as R
 from ..operators import report as Q
 from ..operators import sale_scan as C
 from ..operators import summary as U
+from ..sources import keyed as N
+from ..sources import payload as A
 from ..sources import state as K
 from ..sources.shared import kept, shared_folder
 from ..streaming import calendar as Z
@@ -276,8 +278,40 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = shared_folder(spark, "upsert")
     e = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
     e.repartition(4, "event_id").write.parquet(f"{where}/in")
-    Y.sync(Y.read_files(spark, f"{where}/in", e.schema, files_per_batch=1), f"{where}/checkpoint", K.keyed_sink(f"{where}/state", "user_id", ["ts", "event_id"])).awaitTermination()
-    return K.current(spark, f"{where}/state", e.schema).drop("event_id")
+    held = N.KeyedTable(f"{where}/state", "user_id long, event_type string, ts timestamp_ntz, event_id long", "user_id", ("ts", "event_id"), buckets=4, compact_every=3)
+    Y.sync(Y.read_files(spark, f"{where}/in", e.schema, files_per_batch=1), f"{where}/checkpoint", held.sink()).awaitTermination()
+    return held.read(spark).drop("event_id")
+
+
+@_query("""SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'live' ELSE replace(lower(p_name), ' ', '') END AS alias FROM part""")
+def alias_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles between words that titles may lack, nested up to fifty deep; of a title of such words alone the last one stays."""
+    key = F.col("p_partkey").cast("int")
+    title = F.when(key % 10 == 0, F.repeat(F.lit("LIVE "), key % 7 + 1)).otherwise(F.concat(F.repeat(F.lit("Oneman Live "), key % 3), F.repeat(F.lit("oneman "), key % 2), F.col("p_name"), F.repeat(F.lit(" live"), F.col("p_size"))))
+    name = T.once(table(spark, sf_dir, "part").select("p_partkey", title.alias("title")), {"name": T.name_key(F.col("title"))})
+    return name.select("p_partkey", M.alias_key(F.col("name"), ("oneman", "onemanlive"), ("live", "onemanlive")).alias("alias"))
+
+
+@_query("""SELECT CAST(event_id AS VARCHAR) AS post_id, CASE WHEN event_id % 3 = 0 THEN 'long ' || event_type || ' ' || event_id ELSE event_type END AS text, CASE WHEN event_id % 7 = 0 THEN NULL ELSE date_trunc('second', ts) END AS posted_at,
+ event_type AS api_text, CASE WHEN event_id % 3 = 0 THEN 'note_tweet' ELSE 'text' END AS full_text_source, 'post' AS row_kind FROM events
+ UNION ALL SELECT CAST(user_id AS VARCHAR), NULL, NULL, NULL, NULL, CASE WHEN user_id % 2 = 0 THEN 'malformed JSON' ELSE 'no object' END FROM (SELECT DISTINCT user_id FROM events)""")
+def payload_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads of each user's events, of several shapes, fields held by an inner payload, times under other names; and what can't be read."""
+    where, e = shared_folder(spark, "payloads"), table(spark, sf_dir, "events")
+    key, iso = F.col("event_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    note = F.when(key % 3 == 0, F.struct(F.concat(F.lit("long "), "event_type", F.lit(" "), key.cast("string")).alias("text"), F.lit("x").alias("access_token")))
+    inner = F.struct(key.cast("string").alias("id"), F.col("event_type").alias("text"), F.when(key % 7 == 0, "soon").when(key % 5 == 0, iso).alias("source_posted_at"), F.when((key % 5 != 0) & (key % 7 != 0), iso).alias("created_at"), note.alias("note_tweet"), F.struct(F.lit("b").alias("bearer"), F.lit(1).alias("n")).alias("more"))
+    held = F.struct(key.cast("string").alias("id"), inner.alias("raw"))
+    body = F.when(key % 2 == 0, F.to_json(inner)).otherwise(F.to_json(held))
+    grouped = e.groupBy("user_id").agg(F.array_join(F.collect_list(body), ",").alias("all"))
+    whole = F.concat(F.lit("["), F.col("all"), F.lit("]"))
+    text = F.when(F.pmod("user_id", F.lit(4)) == 3, whole).otherwise(F.concat(F.lit('{"data":'), whole, F.lit("}")))
+    bad = F.when(F.pmod("user_id", F.lit(2)) == 0, F.concat(F.lit('{"data": ['), F.col("user_id").cast("string"))).otherwise(F.col("user_id").cast("string"))
+    grouped.select(F.explode(F.array(text, bad, F.lit(""))).alias("value")).write.text(where)
+    items, errors = A.read_payloads(spark, where, lines=True)
+    told = A.posts(items).select("post_id", "text", F.col("posted_at").cast("timestamp_ntz").alias("posted_at"), "api_text", "full_text_source", F.lit("post").alias("row_kind"))
+    broken = errors.select(F.regexp_extract("text", "([0-9]+)$", 1).alias("post_id"), *[F.lit(None).cast(k).alias(c) for c, k in (("text", "string"), ("posted_at", "timestamp_ntz"), ("api_text", "string"), ("full_text_source", "string"))], F.col("error").alias("row_kind"))
+    return told.unionByName(broken)
 
 
 @_query("SELECT doc_id AS k, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'known' ELSE 'old' END AS v FROM documents UNION ALL SELECT doc_id, 'known' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")

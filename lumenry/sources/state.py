@@ -142,40 +142,6 @@ def write_samples(df: DataFrame, path: str, order: list[str], most: int = 100) -
     df.select(*scrubbed(df.schema)).orderBy(*order).limit(most).coalesce(1).write.mode("overwrite").json(path)
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """The numbers of the versions below a folder that were written to their end."""
-    top = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(top):
-        return []
-    names = [f.getPath() for f in files.listStatus(top)]
-    return sorted(int(p.getName().removeprefix("v=")) for p in names if p.getName().startswith("v=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-
-
-def current(spark: SparkSession, path: str, schema: t.StructType | str, before: int | None = None) -> DataFrame:
-    """The latest version of a keyed table (or the latest before one)."""
-    found = [v for v in _versions(spark, path) if before is None or v < before]
-    return spark.read.schema(schema).parquet(f"{path}/v={found[-1]}") if found else spark.createDataFrame([], schema)
-
-
-def keyed_sink(path: str, key: str, order: list[str]):
-    """For ``foreachBatch``: merges a batch into the keyed table below ``path``, as a new version named by the batch.
-
-    Of rows of one key the last in order counts, of the batch and of what was there. A
-    batch that comes again reads the version before it and writes the same rows anew, so
-    nothing counts twice; readers of an older version aren't disturbed. One version holds
-    one row a key: what is kept grows with the keys, not with the rows that came.
-    """
-
-    def merge(batch: DataFrame, number: int) -> None:
-        old = current(batch.sparkSession, path, batch.schema, number)
-        rows = old.unionByName(batch)
-        last = rows.groupBy(key).agg(F.max_by(F.struct(*batch.columns), F.struct(*order)).alias("r")).select("r.*")
-        last.write.mode("overwrite").parquet(f"{path}/v={number}")
-
-    return merge
-
-
 def scrubbed(schema: t.StructType, prefix: str = "") -> list[Column]:
     """Columns of a schema without fields of secret-like names, at any depth of structs, arrays and maps."""
     return [_clean(F.col(f"{prefix}`{f.name}`"), f.dataType).alias(f.name) for f in schema.fields if not SECRET.search(f.name)]

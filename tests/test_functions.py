@@ -156,18 +156,6 @@ def test_published_json_is_read_as_it_is(spark, tmp_path):
     assert [r.error for r in errors.collect()] == ["malformed JSON"]
 
 
-def test_keyed_sink_counts_a_batch_once(spark, tmp_path):
-    from lumenry.sources import state as K
-
-    path = str(tmp_path / "keyed")
-    sink = K.keyed_sink(path, "k", ["t"])
-    batch = lambda *rows: spark.createDataFrame(rows, "k int, t int, v string")
-    sink(batch((1, 1, "a"), (1, 2, "b"), (2, 1, "c")), 0)
-    sink(batch((1, 1, "late"), (3, 1, "d")), 1)
-    sink(batch((1, 1, "late"), (3, 1, "d")), 1)
-    assert sorted(map(tuple, K.current(spark, path, "k int, t int, v string").collect())) == [(1, 2, "b"), (2, 1, "c"), (3, 1, "d")]
-
-
 def test_secrets_in_arrays_and_maps(spark):
     from lumenry.sources import state as K
 
