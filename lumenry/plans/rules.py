@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import details as X
 from ..operators import fold as G
 from ..operators import match as M
+from ..operators import parse as E
 from ..operators import posts as P
 from ..operators import publish as R
 from ..operators import report as Q
@@ -357,3 +358,38 @@ def sale_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = s.select("event_id", F.col("event_id").alias("post_id"), text.alias("text"), posted.alias("posted_at"), F.lit("other").alias("source_kind"), *[F.lit(None).cast("int").alias(c) for c in ("general_price", "priority_price", "same_day_price")], F.lit(None).cast("string").alias("priority_name"))
     held = C.with_sales(X.with_details(posts)).select("event_id", F.explode("sales").alias("p"))
     return held.select("event_id", "p.sale_type", "p.ticket_tier", "p.price", "p.start_at", "p.deadline_at", "p.result_at")
+
+
+def _raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's announcement, for every fifth one a second post a day later that all is gone, and for every third one that names no event."""
+    c, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    day = F.date_add(F.to_date(F.lit("1998-07-01")), F.pmod(key, F.lit(300)).cast("int"))
+    md, url = F.date_format(day, "M/d"), F.concat(F.lit("https://ticketdive.com/event/"), key.cast("string"))
+    name, venue = F.concat(F.lit("NIGHT "), F.substring(F.md5(key.cast("string")), 1, 16)), F.concat(F.lit("Hall "), F.col("c_nationkey").cast("string"))
+    first = F.concat_ws(
+        "\n", F.lit("NEXT LIVE"), md, F.concat(F.lit("『"), name, F.lit("』")), F.concat(F.lit("会場："), venue), F.lit("OPEN 17:30 / START 18:00"),
+        F.concat(F.lit("一般：¥"), F.format_number(1000 + F.pmod(key, F.lit(5000)), 0), F.lit(" / 優先：¥"), F.format_number(7000 + F.pmod(key, F.lit(900)), 0)),
+        F.concat(F.lit("抽選受付："), F.date_format(F.date_sub(day, 9), "M/d"), F.lit(" 12:00〜"), F.date_format(F.date_sub(day, 5), "M/d"), F.lit(" 25:30")), url,
+    )
+    gone = F.concat_ws("\n", F.lit("SOLD OUT"), md, F.concat(F.lit("『"), name, F.lit("』")), F.concat(F.lit("会場："), venue), url)
+    told = F.array(F.struct(F.lit(0).alias("n"), first.alias("text")), F.when(key % 5 == 0, F.struct(F.lit(1).alias("n"), gone.alias("text"))), F.when(key % 3 == 0, F.struct(F.lit(2).alias("n"), F.lit("メンバー紹介 profile 03").alias("text"))))
+    rows = c.select(key, day.alias("day"), F.explode(F.array_compact(told)).alias("t"))
+    return rows.select((F.col("c_custkey") * 10 + F.col("t.n")).alias("post_id"), "t.text", (F.date_add(F.date_sub("day", 20), F.col("t.n")).cast("timestamp") + F.expr("INTERVAL 3 HOURS")).alias("posted_at"))
+
+
+_DAYS_LEFT = lambda n: f"CAST(day - {n} AS VARCHAR)"
+_SHORT = lambda n: f"(month(day - {n}) || '/' || day(day - {n}))"
+
+
+@_query(f"""WITH c AS (SELECT c_custkey * 10 AS eid, DATE '1998-07-01' + CAST(c_custkey % 300 AS INTEGER) AS day, 'NIGHT ' || substr(md5(CAST(c_custkey AS VARCHAR)), 1, 16) AS event_name, 'Hall ' || c_nationkey AS venue,
+  {_YEN('1000 + c_custkey % 5000')} AS low, {_YEN('7000 + c_custkey % 900')} AS high, 1000 + c_custkey % 5000 AS p, 7000 + c_custkey % 900 AS q, c_custkey % 5 = 0 AS gone, c_custkey AS k FROM customer)
+SELECT eid || ':' || day AS id, CAST(eid AS VARCHAR) AS event_id, CAST(day AS VARCHAR) AS event_date, substr('月火水木金土日', isodow(day), 1) AS weekday, event_name, venue, '開演 18:00' AS live_summary,
+ '抽選 / 一般 ' || low || ' / 優先 ' || high || ' / ' || {_SHORT(4)} || '締切' || CASE WHEN gone THEN ' / 完売' ELSE '' END AS ticket_summary, '抽選 ' || {_SHORT(9)} || ' 12:00〜' || {_SHORT(4)} || ' 01:30' AS application_summary,
+ 'https://ticketdive.com/event/' || k AS ticket_url, CASE WHEN gone THEN '完売' ELSE '不明' END AS ticket_status, gone AS needs_review, {_DAYS_LEFT(4)} || 'T01:30:00' AS application_deadline_at, '' AS payment_deadline_at,
+ {_DAYS_LEFT(4)} || 'T01:30:00' AS next_deadline_at, '抽選' AS next_sale_type, '抽選 一般' AS next_label, true AS is_ready, '' AS not_ready_reasons,
+ '抽選 一般 一般 ' || p || ' ' || {_DAYS_LEFT(9)} || 'T12:00:00 ' || {_DAYS_LEFT(4)} || 'T01:30:00 不明 true;抽選 優先 優先 ' || q || ' ' || {_DAYS_LEFT(9)} || 'T12:00:00 ' || {_DAYS_LEFT(4)} || 'T01:30:00 不明 false' AS sales FROM c""")
+def posts_to_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw posts to the rows of the page: classified, read, folded into events, published; all columns, sale periods as text."""
+    page = E.page_of(_raw_posts(spark, sf_dir), None, AS_OF)[1]
+    line = lambda p: F.concat_ws(" ", *[p[c].cast("string") for c in ("sale_type", "ticket_name", "ticket_tier", "price", "start_at", "deadline_at", "status", "is_next_deadline")])
+    return page.withColumns({"sales": F.array_join(F.transform("sales", line), ";"), "not_ready_reasons": F.array_join("not_ready_reasons", ";")})
