@@ -16,8 +16,10 @@ from ..operators import publish as R
 from ..operators import report as Q
 from ..operators import sale_scan as C
 from ..operators import summary as U
+from ..sources import archive_stream as V
 from ..sources import keyed as N
 from ..sources import payload as A
+from ..sources import sinks as W
 from ..sources import state as K
 from ..sources.shared import kept, shared_folder
 from ..streaming import calendar as Z
@@ -393,3 +395,28 @@ def posts_to_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = E.page_of(_raw_posts(spark, sf_dir), None, AS_OF)[1]
     line = lambda p: F.concat_ws(" ", *[p[c].cast("string") for c in ("sale_type", "ticket_name", "ticket_tier", "price", "start_at", "deadline_at", "status", "is_next_deadline")])
     return page.withColumns({"sales": F.array_join(F.transform("sales", line), ";"), "not_ready_reasons": F.array_join("not_ready_reasons", ";")})
+
+
+@_query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS name, row_number() OVER (ORDER BY p_size, lower(p_name), p_partkey) AS position FROM part""")
+def published_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as they are published: in order of size and name, upper and lower case alike; the place of each, from the files as written."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("name"))
+    where = W.write_in_order(rows, shared_folder(spark, "ordered"), ["p_size", F.collate("name", "UTF8_LCASE"), "p_partkey"])
+    return spark.read.parquet(where).select("p_partkey", "name", "position")
+
+
+@_query("""SELECT event_id, event_type, CASE WHEN event_id <= m AND event_id % 3 = 0 THEN 'backfill' ELSE 'stream' END AS origin FROM events, (SELECT max(event_id) // 2 AS m FROM events)""")
+def cursor_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive read by its last id: stopped, then older and newer posts come, then it goes on; the older ones are for the backfill."""
+    where = shared_folder(spark, "archive")
+    e = table(spark, sf_dir, "events").select("event_id", "event_type")
+    half = e.agg((F.floor(F.max("event_id") / 2)).alias("m")).first().m
+    late = (F.col("event_id") <= half) & (F.col("event_id") % 3 == 0)
+    spark.dataSource.register(V.PostArchive)
+    for rows in (e.filter((F.col("event_id") <= half) & ~late), e.filter(late | (F.col("event_id") > half))):
+        rows.write.mode("append").parquet(f"{where}/posts")
+        stream = spark.readStream.format("post_archive").option("path", f"{where}/posts").option("id", "event_id").schema(e.schema).load()
+        stream.writeStream.format("parquet").option("path", f"{where}/seen").option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    seen = spark.read.schema(e.schema).parquet(f"{where}/seen").withColumn("origin", F.lit("stream"))
+    older = spark.read.schema(e.schema).parquet(f"{where}/posts").withColumn("origin", F.lit("backfill"))
+    return Y.backfill(older, seen, "event_id", [])
