@@ -87,10 +87,20 @@ def is_ticket_url(url: Column) -> Column:
     return ~is_streaming_url(url) & (_on(url, TICKET_HOSTS) | path.rlike(r"(^|[/_-])tickets?([/_-]|$)"))
 
 
-def classify(posts: DataFrame, text: str = "text") -> DataFrame:
+#: Words by which a post that names a member is about a live all the same.
+ABOUT_LIVE = ("ライブ", "live", "公演", "出演", "会場", "場所", "開場", "開演", "チケット", "ticket")
+
+
+def names_member(text: Column, lines: Column, members: tuple[str, ...]) -> Column:
+    """Whether a lower-case text has a member's name as a line of its own, or names one and nothing of a live."""
+    names = [m.lower() for m in members]
+    return F.exists(lines, lambda x: x.isin(*names)) | (any_of(text, names) & ~any_of(text, ABOUT_LIVE)) if names else F.lit(False)
+
+
+def classify(posts: DataFrame, text: str = "text", members: tuple[str, ...] = ()) -> DataFrame:
     """Adds classification, confidence and kind, by ordered rules over features that posts carry.
 
-    Features: event_date, event_name, venue, ticket_url (null where absent), has_time,
+    ``members``: names of the act's members; a post that names one and nothing of a live introduces them. Features: event_date, event_name, venue, ticket_url (null where absent), has_time,
     has_performance (boolean). The first rule that holds decides.
     """
     t = F.lower(spaces(F.col(text)))
@@ -101,7 +111,8 @@ def classify(posts: DataFrame, text: str = "text") -> DataFrame:
     positive = sum((any_of(t, [w]).cast("int") for w in POSITIVE), F.lit(0))
     kind = source_kind(F.col(text))
     live = has["venue"] | has["ticket_url"] | F.col("has_time") | F.col("has_performance")
-    profile = t.rlike(r"\bprofile\s*0?[1-9]\b") | bare.rlike("profile[0-9]+") | (any_of(t, PROFILE) & ~live)
+    bare_lines = F.transform(F.split(t, r"\R"), lambda x: F.trim(x))
+    profile = t.rlike(r"\bprofile\s*0?[1-9]\b") | bare.rlike("profile[0-9]+") | (any_of(t, PROFILE) & ~live) | (names_member(t, bare_lines, members) & ~live)
     signing = t.contains(SIGNING[0])
     for word in SIGNING[1:]:
         signing = signing & t.contains(word)

@@ -168,16 +168,30 @@ def public_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""SELECT event_id, array_to_string(list_filter([CASE WHEN event_id % 5 = 0 THEN 'missing event_name' END, CASE WHEN event_id % 3 = 0 THEN 'missing venue' END,
- CASE WHEN event_id % 2 = 0 AND o_orderstatus <> 'F' THEN 'missing deadline' END, CASE WHEN event_id % 10 BETWEEN 1 AND 7 THEN 'ambiguous match' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM {_SCHEDULE}""")
+ CASE WHEN event_id % 2 = 0 AND o_orderstatus <> 'F' AND event_id % 11 <> 0 THEN 'missing ticket deadline' END, CASE WHEN event_id % 7 = 0 OR event_id % 13 = 0 THEN 'likely image-dependent' END, CASE WHEN event_id % 10 BETWEEN 1 AND 7 THEN 'ambiguous event match' END,
+ CASE WHEN event_id % 13 = 0 THEN 'classification: likely image' WHEN event_id % 17 = 0 THEN 'classification: few words' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM {_SCHEDULE}""")
 def review_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = lambda n: F.pmod("event_id", F.lit(n))
     df = schedule(spark, sf_dir).select(
-        "event_id", F.when(k(5) != 0, F.col("event_name")).alias("event_name"), F.when(k(3) != 0, F.col("venue")).alias("venue"), "general_price",
+        "event_id", F.when(k(5) != 0, F.col("event_name")).alias("event_name"), F.when(k(3) != 0, F.col("venue")).alias("venue"), F.when(k(11) == 0, 0).otherwise(F.col("general_price")).alias("general_price"),
         F.when(k(2) != 0, F.col("event_day")).alias("deadline_at"), F.when(F.col("o_orderstatus") == "F", "ended").alias("status"), (k(10) / 10).alias("match_score"),
+        F.when(k(7) == 0, F.concat(F.lit("本日はこちら "), "event_name")).otherwise(F.col("event_name")).alias("source_text"), F.when(k(13) == 0, "likely image").when(k(17) == 0, "few words").alias("classification_reason"),
     )
     return df.select("event_id", F.array_join(R.review_reasons(df), "; ").alias("reasons"))
 
 
+@_query("""SELECT o_orderkey AS post_id, CAST(d AS VARCHAR) || CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE ',' || CAST(d + 1 AS VARCHAR) END AS days FROM (SELECT o_orderkey, CASE WHEN month(x) = 2 AND day(x) >= 27 THEN x + 3 ELSE x END AS d FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS x FROM orders))""")
+def appearance_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A festival of two days; every other post tells on which of them the act appears."""
+    raw = F.to_date("o_orderdate")
+    day = F.when((F.month(raw) == 2) & (F.dayofmonth(raw) >= 27), F.date_add(raw, 3)).otherwise(raw)
+    md = lambda n: F.date_format(F.date_add(day, n), "M/d")
+    own = F.when(F.pmod("o_orderkey", F.lit(2)) == 0, F.concat(F.lit("出演日："), md(0)))
+    text = F.concat_ws("\n", F.lit("NEXT LIVE"), F.concat(F.lit("日程："), md(0), F.lit("、"), md(1)), F.lit("『FES』"), own)
+    posts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("post_id"), text.alias("text"), (F.date_sub(day, 20).cast("timestamp") + F.expr("INTERVAL 3 HOURS")).alias("posted_at"))
+    return X.extract(posts).select("post_id", F.array_join(F.col("event_dates").cast("array<string>"), ",").alias("days"))
+
+
 @_query("SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def anti_join_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")

@@ -26,3 +26,15 @@ def test_structure_decides(spark):
     df = spark.createDataFrame(rows, "k long, text string, event_date string, event_name string, venue string, ticket_url string, has_time boolean").withColumn("has_performance", F.lit(False))
     got = {r.k: (r.classification, r.classification_confidence) for r in P.classify(df).collect()}
     assert got == {1: ("event", "high"), 2: ("needs_review", "low"), 3: ("needs_review", "low"), 4: ("event", "medium"), 5: ("event", "high")}
+
+
+def test_members_are_a_parameter(spark):
+    from lumenry.operators import publish as R
+
+    texts = {1: "Hello\nMinami Aoi", 2: "Minami Aoi ライブ 出演", 3: "we like minami aoi", 4: "profile 3\nx", 5: "plain"}
+    df = spark.createDataFrame(list(texts.items()), "k int, text string").withColumns({**{c: F.lit(None).cast("string") for c in ("event_date", "event_name", "venue", "ticket_url")}, "has_time": F.lit(False), "has_performance": F.lit(False)})
+    told = lambda members: {r.k: (r.classification, r.classification_confidence) for r in P.classify(df, members=members).collect()}
+    assert told(("Minami Aoi",))[1] == told(("Minami Aoi",))[3] == told(())[4] == ("non_event", "high") and told(("Minami Aoi",))[2][0] == "needs_review"
+    events = df.withColumns({"event_name": F.col("text"), "event_date": F.lit("2026-06-01"), "venue": F.lit("Hall"), "start_time": F.lit("18:00"), **{c: F.lit(None).cast("string") for c in ("open_time", "performance_time", "benefit_time", "general_price", "notes")}})
+    bad = {r.k for r in events.filter(F.size(R.readiness_reasons(events, ("Minami Aoi",))) > 0).collect()}
+    assert bad == {1, 3, 4}
