@@ -27,7 +27,7 @@ from . import blocks as B
 from . import words as W
 
 ITEM_BYTES, ITEM_ROWS = 4 << 20, 4096  # of a block of items
-ENTRIES = 4 << 20  # (item, document, impact) entries that are sorted at once, unless one document has more
+ENTRIES = 1 << 20  # (item, document, impact) entries that are sorted at once, unless one document has more
 POSTINGS = "doc_id long, n long, terms array<int>, counts array<int>"
 CANDIDATES = "item int, item_id long, doc_id long, score long"
 RESULT = "item_id long, rank int, doc_id long, score long"
