@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import words as W
 
 HELD_WORDS = 200_000  # words whose encoding a task keeps; beyond, it starts anew
-CHUNK = 8 << 20  # bytes of text whose new words are merged together
+CHUNK = 4 << 20  # bytes of text whose new words are merged together
 RESULT = "doc_id long, ids array<int>, decoded string"
 # \x1c-\x1f count as white space for str.split, but not in the Unicode property
 _SPLIT_BY_HAND = regex.compile("[\x1c-\x1f]")
