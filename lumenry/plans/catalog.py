@@ -19,7 +19,7 @@ from ..sources import sinks as W
 from ..sources import state as K
 from ..sources.shared import shared_folder
 from ..streaming import sync as Y
-from .synth import posts, schedule, table
+from .synth import all_kinds, all_kinds_sql, first_of_sql, posts, schedule, table, with_words
 
 FLAGSHIP = "public_schedule"
 QUERIES: dict = {}
@@ -124,35 +124,17 @@ def casefold_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", key.alias("k")).groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).drop("k")
 
 
-_CASES = (
-    ("NEXT LIVE 出演決定", "initial_announcement"), ("本日 出演します", "same_day_reminder"), ("明日です", "day_before_reminder"),
-    ("タイムテーブル公開", "timetable_update"), ("完売しました", "sold_out"), ("開演時間の訂正", "correction"), ("チケット受付", "ticket_update"), ("こんにちは", "other"),
-)
-
-
-@_query("SELECT event_id, CASE event_id % 8 " + " ".join(f"WHEN {k} THEN '{c}'" for k, (_, c) in enumerate(_CASES)) + " END AS source_kind FROM events")
+@_query(f"SELECT doc_id, {first_of_sql('lower(text)', 'doc_id', P.KINDS, 2, chr(39) + 'other' + chr(39))} AS source_kind FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
 def source_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.element_at(F.array(*[F.lit(t) for t, _ in _CASES]), F.pmod("event_id", F.lit(8)).cast("int") + 1)
-    return table(spark, sf_dir, "events").select("event_id", P.source_kind(text).alias("source_kind"))
+    """Whole documents with words of up to eight kinds put after them: the first kind that is told of."""
+    told = T.once(table(spark, sf_dir, "documents").select("doc_id", "text"), {"text": with_words(F.col("text"), F.col("doc_id"), P.KINDS, 2)})
+    return told.select("doc_id", P.source_kind(F.col("text")).alias("source_kind"))
 
 
-@_query("""SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 'non_event' WHEN event_id % 6 = 1 THEN 'needs_review' WHEN event_id % 6 IN (2, 3) THEN 'event' WHEN event_id % 6 = 4 THEN 'needs_review' ELSE 'non_event' END AS classification,
- CASE WHEN event_id % 6 IN (1, 4) THEN 'low' WHEN event_id % 6 = 3 THEN 'medium' ELSE 'high' END AS classification_confidence FROM events""")
+@_query(f"SELECT event_id AS post_id, split_part(class, ' ', 1) AS classification, split_part(class, ' ', 2) AS classification_confidence FROM {all_kinds_sql()}")
 def classify_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six kinds of posts, one of each rule family."""
-    k = F.pmod("event_id", F.lit(6))
-    texts = ("メンバー紹介", "本日はこちら", "ライブ 会場", "ライブ チケット", "開演時間の変更", "今度ね")
-    df = table(spark, sf_dir, "events").select(
-        "event_id",
-        F.element_at(F.array(*map(F.lit, texts)), k.cast("int") + 1).alias("text"),
-        F.when(k == 2, F.to_date("ts")).alias("event_date"),
-        F.when(k == 2, F.col("event_type")).alias("event_name"),
-        F.lit(None).cast("string").alias("venue"),
-        F.lit(None).cast("string").alias("ticket_url"),
-        (k == 3).alias("has_time"),
-        F.lit(False).alias("has_performance"),
-    )
-    return P.classify(df).select("event_id", "classification", "classification_confidence")
+    """Posts that give or leave out each field and say what speaks for or against an event: read, then classified."""
+    return P.classify(X.extract(all_kinds(spark, sf_dir))).select("post_id", "classification", "classification_confidence")
 
 
 @_query(f"""SELECT event_id, array_to_string(list_filter([CASE WHEN event_id % 7 = 0 THEN 'missing event_date' END, CASE WHEN event_id % 5 = 0 THEN 'missing event_name' END,

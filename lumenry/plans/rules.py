@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import text as T
 from ..operators import details as X
+from ..operators import extract as X0
 from ..operators import fold as G
 from ..operators import match as M
 from ..operators import parse as E
@@ -25,7 +26,7 @@ from ..sources.shared import kept, shared_folder
 from ..streaming import calendar as Z
 from ..streaming import sync as Y
 from .catalog import _DAYS, _ENTRIES, _SCHEDULE, TODAY, _days, _query
-from .synth import schedule, table
+from .synth import all_kinds, all_kinds_sql, digit, first_of_sql, schedule, table, with_words
 
 AS_OF = f"{TODAY}T00:00:00"
 def _none() -> Column:
@@ -250,14 +251,12 @@ def post_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.with_details(posts).select("o_orderkey", "ticket_status", "ticket_sale_type", "lottery_result_at", "notes", "source_url", "ticket_url")
 
 
-_WORDS = tuple((reason, words[0] if isinstance(words[0], str) else " ".join(words[0])) for reason, words in R.NON_LIVE)
-
-
-@_query("SELECT event_id, CASE event_id % 10 " + " ".join(f"WHEN {k} THEN '{reason}'" for k, (reason, _) in enumerate(_WORDS)) + " END AS reason FROM events")
+@_query(f"SELECT doc_id, {first_of_sql('text', 'doc_id', R.NON_LIVE, 1, 'NULL')} AS reason FROM (SELECT doc_id, regexp_replace(replace(lower(coalesce(text, '')), 'ß', 'ss'), '\\s+', '', 'g') AS text FROM documents)")
 def non_live_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = F.array(*[F.lit(f"SHOW {words}") for _, words in _WORDS], F.lit("SHOW"))
-    text = F.element_at(texts, F.pmod("event_id", F.lit(10)).cast("int") + 1)
-    return table(spark, sf_dir, "events").select("event_id", R.non_live_reason(T.folded(text, compose=False)).alias("reason"))
+    """Whole documents with words that tell of no live after them, in capitals and spaced out: the first reason."""
+    text = with_words(F.col("text"), F.col("doc_id"), R.NON_LIVE, 1, lambda word: " ".join(word.upper()))
+    told = T.once(table(spark, sf_dir, "documents").select("doc_id", "text"), {"folded": T.folded(text, compose=False)})
+    return told.select("doc_id", R.non_live_reason(F.col("folded")).alias("reason"))
 
 
 @_query("""SELECT coalesce(n.k, o.k) AS k, coalesce(n.v, o.v) AS v, coalesce(o.first_at, n.first_at) AS first_at FROM (SELECT event_id AS k, event_type AS v, ts AS first_at FROM events) o
@@ -336,14 +335,15 @@ def refresh_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.refresh(events, before, F.lit(AS_OF), shared_folder(spark, "public"))[1]
 
 
-@_query("SELECT 'event' AS expected, 'event' AS actual, count(*) FILTER (WHERE event_id % 3 = 0) AS n, true AS agrees FROM events UNION ALL SELECT 'non_event', 'non_event', count(*) FILTER (WHERE event_id % 3 = 1), true FROM events UNION ALL SELECT 'event', 'needs_review', count(*) FILTER (WHERE event_id % 3 = 2), false FROM events")
+_EXPECTED = "CASE WHEN d0 = 1 AND n = 1 AND p > 1 THEN 'event' WHEN p < 5 AND v + t + u = 0 THEN 'non_event' ELSE 'needs_review' END"
+
+
+@_query(f"SELECT expected, actual, count(*) AS n, expected = actual AS agrees FROM (SELECT {_EXPECTED} AS expected, split_part(class, ' ', 1) AS actual FROM {all_kinds_sql()}) GROUP BY 1, 2")
 def classifier_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the rules say of extracted posts against what was expected: a post with a day and a name, a profile, a bare word."""
-    k = F.pmod("event_id", F.lit(3)).cast("int")
-    text = F.element_at(F.array(F.lit("『Night』 ライブ 6/1"), F.lit("メンバー紹介"), F.lit("ライブ")), k + 1)
-    df = table(spark, sf_dir, "events").select("event_id", text.alias("text"), k.alias("k"))
-    df = df.withColumns({"event_date": F.when(k == 0, D.event_date(F.col("text"), F.to_date(F.lit("2026-04-01")))), "event_name": F.when(k == 0, "Night"), **_strings("venue", "ticket_url"), "has_time": F.lit(False), "has_performance": F.lit(False)})
-    told = P.classify(df).withColumn("expected", F.when(F.col("k") == 1, "non_event").otherwise("event"))
+    """What the rules say of posts against what these were made as: announcements with day and name, posts about nothing live, the rest to be reviewed."""
+    has = lambda k, share: digit(F.col("post_id"), k) < share
+    expected = F.when(has(1, 10) & has(2, 8) & (digit(F.col("post_id"), 6) > 1), "event").when(has(6, 5) & ~has(3, 8) & ~has(4, 6) & ~has(5, 4), "non_event").otherwise("needs_review")
+    told = P.classify(X0.extract(all_kinds(spark, sf_dir))).withColumn("expected", expected)
     return Q.confusion(told, "expected", "classification")
 
 
