@@ -100,6 +100,12 @@ def event_quality(events: DataFrame, reasons: Column) -> DataFrame:
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+def post_counts(classified: DataFrame) -> DataFrame:
+    """One row of what a run tells of its posts: fetched, parsed (about an event), skipped, and those of the parsed to be reviewed."""
+    is_ = lambda code: F.col("classification").eqNullSafe(code)
+    return classified.agg(F.count("*").alias("posts_fetched"), F.count_if(~is_("non_event")).alias("posts_parsed"), F.count_if(is_("non_event")).alias("non_event_skipped"), F.count_if(is_("needs_review")).alias("to_review"))
+
+
 def suspicious(events: DataFrame, reasons: Column, most: int = 10) -> DataFrame:
     """The first ``most`` events that aren't published, with the reasons: examples to look at."""
     return events.withColumn("reasons", reasons).filter(F.size("reasons") > 0).orderBy("event_id").limit(most).select("event_id", "event_date", "event_name", "venue", "reasons")
@@ -135,10 +141,14 @@ def month_keys(first: Column, count: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(max(1, count) - 1)), lambda k: F.date_format(F.add_months(start, k), "yyyy-MM"))
 
 
-def in_page_order(rows: DataFrame, by: str = "event") -> DataFrame:
+def page_order(by: str = "event") -> list[Column]:
     """By day, name and venue, or first by deadline; rows without a day, or deadline, come last. Texts in binary order."""
-    own = [F.asc_nulls_last("event_day"), "event_name", "venue", "event_id"]
-    return rows.orderBy(*([F.asc_nulls_last("deadline_day")] if by == "deadline" else []), *own)
+    own = [F.asc_nulls_last("event_day"), F.col("event_name"), F.col("venue"), F.col("event_id")]
+    return ([F.asc_nulls_last("deadline_day")] if by == "deadline" else []) + own
+
+
+def in_page_order(rows: DataFrame, by: str = "event") -> DataFrame:
+    return rows.orderBy(*page_order(by))
 
 
 def grouped(rows: DataFrame, by: str = "event") -> DataFrame:

@@ -110,8 +110,13 @@ def record_order() -> list[Column]:
     return [number.isNull(), number.desc_nulls_last(), F.desc_nulls_last("posted_at"), F.desc("post_id")]
 
 
+def state_order(time: str, key: str) -> list[Column]:
+    """As state is listed: by time, rows without one first, then by key."""
+    return [F.asc_nulls_first(time), F.col(key)]
+
+
 def in_state_order(df: DataFrame, time: str, key: str) -> DataFrame:
-    return df.orderBy(F.asc_nulls_first(time), key)
+    return df.orderBy(*state_order(time, key))
 
 
 def read_public(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:

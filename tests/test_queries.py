@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 import duckdb
 import pytest
 
-from lumenry.plans import catalog, rules  # noqa: F401
+from lumenry.plans import catalog, reads, rules  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
