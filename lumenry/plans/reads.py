@@ -46,7 +46,8 @@ def context_times(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("出番："), two(6 + h), F.lit(":"), two(10 + m), F.lit("〜"), two(7 + h), F.lit(":00")), F.when(m < 8, F.concat(F.lit("特典会 "), two(8 + h), F.lit("時30分〜"))),
     )
     posts = schedule(spark, sf_dir).select(F.col("event_id").alias("post_id"), text.alias("text"), (F.col("posted_day").cast("timestamp") + F.expr("INTERVAL 3 HOURS")).alias("posted_at"))
-    return E.extract(posts).select("post_id", "performance_time", "benefit_time", "open_time", "start_time")
+    told = ("performance_time", "benefit_time", "open_time", "start_time")
+    return E.extract(posts, only=told).select("post_id", *told)
 
 
 @_query(f"SELECT count(*) AS posts_fetched, count(*) FILTER (WHERE NOT starts_with(class, 'non_event')) AS posts_parsed, count(*) FILTER (WHERE starts_with(class, 'non_event')) AS non_event_skipped, count(*) FILTER (WHERE starts_with(class, 'needs_review')) AS to_review FROM {all_kinds_sql()}")
