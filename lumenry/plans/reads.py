@@ -29,7 +29,7 @@ def free_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = schedule(spark, sf_dir)
     line = F.element_at(F.array(*[F.replace(F.lit(told), F.lit("{}"), F.col("general_price").cast("string")) for told, _, _ in _PRICES]), digit(F.col("event_id"), 1).cast("int") + 1)
     posts = s.select(F.col("event_id").alias("post_id"), F.concat(F.lit("NEXT LIVE\n"), line).alias("text"), (F.col("posted_day").cast("timestamp") + F.expr("INTERVAL 3 HOURS")).alias("posted_at"))
-    return X.with_details(E.extract(posts)).select("post_id", "general_price", "priority_price")
+    return X.with_details(E.extract(posts, only=("general_price", "priority_price")), only=()).select("post_id", "general_price", "priority_price")
 
 
 _H, _M = digit_sql("event_id", 1), digit_sql("event_id", 2)
