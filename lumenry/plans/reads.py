@@ -53,7 +53,7 @@ def context_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"SELECT count(*) AS posts_fetched, count(*) FILTER (WHERE NOT starts_with(class, 'non_event')) AS posts_parsed, count(*) FILTER (WHERE starts_with(class, 'non_event')) AS non_event_skipped, count(*) FILTER (WHERE starts_with(class, 'needs_review')) AS to_review FROM {all_kinds_sql()}")
 def post_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a run tells of its posts: how many came, how many were read, how many are about no event."""
-    return Q.post_counts(P.classify(E.extract(all_kinds(spark, sf_dir))))
+    return Q.post_counts(P.classify(E.extract(all_kinds(spark, sf_dir), only=P.FEATURES)))
 
 
 @_query("SELECT event_id, row_number() OVER (ORDER BY day NULLS FIRST, event_id) AS position FROM (SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN date_trunc('day', ts) END AS day FROM events)")
