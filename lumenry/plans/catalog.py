@@ -134,7 +134,7 @@ def source_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"SELECT event_id AS post_id, split_part(class, ' ', 1) AS classification, split_part(class, ' ', 2) AS classification_confidence FROM {all_kinds_sql()}")
 def classify_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts that give or leave out each field and say what speaks for or against an event: read, then classified."""
-    return P.classify(X.extract(all_kinds(spark, sf_dir))).select("post_id", "classification", "classification_confidence")
+    return P.classify(X.extract(all_kinds(spark, sf_dir), only=P.FEATURES)).select("post_id", "classification", "classification_confidence")
 
 
 @_query(f"""SELECT event_id, array_to_string(list_filter([CASE WHEN event_id % 7 = 0 THEN 'missing event_date' END, CASE WHEN event_id % 5 = 0 THEN 'missing event_name' END,
