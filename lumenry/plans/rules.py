@@ -343,7 +343,7 @@ def classifier_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the rules say of posts against what these were made as: announcements with day and name, posts about nothing live, the rest to be reviewed."""
     has = lambda k, share: digit(F.col("post_id"), k) < share
     expected = F.when(has(1, 10) & has(2, 8) & (digit(F.col("post_id"), 6) > 1), "event").when(has(6, 5) & ~has(3, 8) & ~has(4, 6) & ~has(5, 4), "non_event").otherwise("needs_review")
-    told = P.classify(X0.extract(all_kinds(spark, sf_dir))).withColumn("expected", expected)
+    told = P.classify(X0.extract(all_kinds(spark, sf_dir), only=P.FEATURES)).withColumn("expected", expected)
     return Q.confusion(told, "expected", "classification")
 
 
