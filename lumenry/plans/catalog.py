@@ -58,7 +58,7 @@ def public_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"""SELECT event_id AS post_id, event_day AS event_date, event_name, venue, '17:30' AS open_time, '18:00' AS start_time,
  general_price, priority_price, 'initial_announcement' AS source_kind, 0.9 AS confidence FROM {_SCHEDULE}""")
 def extract_event_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = X.extract(posts(spark, sf_dir))
+    df = X.extract(posts(spark, sf_dir), only=("event_date", "event_name", "venue", "open_time", "start_time", "general_price", "priority_price", "source_kind", "confidence"))
     names = ("post_id", "event_date", "event_name", "venue", "open_time", "start_time", "general_price", "priority_price", "source_kind")
     return df.select(*names, F.round(F.col("confidence"), 2).alias("confidence"))
 
@@ -171,7 +171,7 @@ def appearance_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.when(F.pmod("o_orderkey", F.lit(2)) == 0, F.concat(F.lit("出演日："), md(0)))
     text = F.concat_ws("\n", F.lit("NEXT LIVE"), F.concat(F.lit("日程："), md(0), F.lit("、"), md(1)), F.lit("『FES』"), own)
     posts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("post_id"), text.alias("text"), (F.date_sub(day, 20).cast("timestamp") + F.expr("INTERVAL 3 HOURS")).alias("posted_at"))
-    return X.extract(posts).select("post_id", F.array_join(F.col("event_dates").cast("array<string>"), ",").alias("days"))
+    return X.extract(posts, only=("event_dates",)).select("post_id", F.array_join(F.col("event_dates").cast("array<string>"), ",").alias("days"))
 
 
 @_query("SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
