@@ -248,7 +248,8 @@ def post_details(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("https://x.com/a/status/1/photo/1 https://ticketdive.com/"), key.cast("string")),
     )
     posts = o.select(key, key.alias("post_id"), text.alias("text"), (F.date_sub(F.to_date("o_orderdate"), 20).cast("timestamp") + F.expr("INTERVAL 3 HOURS")).alias("posted_at"), F.lit("other").alias("source_kind"), F.lit(None).cast("int").alias("general_price"))
-    return X.with_details(posts).select("o_orderkey", "ticket_status", "ticket_sale_type", "lottery_result_at", "notes", "source_url", "ticket_url")
+    told = ("ticket_status", "ticket_sale_type", "lottery_result_at", "notes", "source_url", "ticket_url")
+    return X.with_details(posts, only=told).select("o_orderkey", *told)
 
 
 @_query(f"SELECT doc_id, {first_of_sql('text', 'doc_id', R.NON_LIVE, 1, 'NULL')} AS reason FROM (SELECT doc_id, regexp_replace(replace(lower(coalesce(text, '')), 'ß', 'ss'), '\\s+', '', 'g') AS text FROM documents)")
