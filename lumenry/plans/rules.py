@@ -359,7 +359,7 @@ def sale_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     posted = F.col("posted_day").cast("timestamp") + F.expr("INTERVAL 3 HOURS")
     posts = s.select("event_id", F.col("event_id").alias("post_id"), text.alias("text"), posted.alias("posted_at"), F.lit("other").alias("source_kind"), *[F.lit(None).cast("int").alias(c) for c in ("general_price", "priority_price", "same_day_price")], F.lit(None).cast("string").alias("priority_name"))
-    held = C.with_sales(X.with_details(posts)).select("event_id", F.explode("sales").alias("p"))
+    held = C.with_sales(X.with_details(posts, only=C.FLAT)).select("event_id", F.explode("sales").alias("p"))
     return held.select("event_id", "p.sale_type", "p.ticket_tier", "p.price", "p.start_at", "p.deadline_at", "p.result_at")
 
 
