@@ -50,7 +50,8 @@ def _today():
  'https://ticketdive.com/event/' || event_id || '?utm_source=x' AS ticket_url FROM {_SCHEDULE}""")
 def public_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts to published rows: extract, keep what is ready, one row a day."""
-    df = X.extract(posts(spark, sf_dir)).withColumnRenamed("post_id", "event_id")
+    read = ("event_date", "event_name", "venue", "open_time", "start_time", "performance_time", "benefit_time", "ticket_url", "general_price", "priority_price", "same_day_price", "sales")
+    df = X.extract(posts(spark, sf_dir), only=read).withColumnRenamed("post_id", "event_id")
     ready = df.filter(F.size(R.readiness_reasons(df)) == 0)
     return R.web_rows(R.occurrences(ready))
 
