@@ -3,7 +3,8 @@
 Each calendar (a column: the account or act whose posts may be about the same events) is
 a key of ``transformWithStateInPandas``. Its state is a map of faces by event, a map of event ids by
 mark, the posts that wait, and the ids that were placed, so a post reads and writes the
-events that it may be about and no others, and a batch costs what its posts cost. A post waits until
+events that it may be about and no others, and a batch costs what its posts cost. Each access to the state is a message
+to another process, so a call reads and writes a key once, and waiting posts and ids are kept in packs. A post waits until
 the watermark has passed it: a timer then places all that wait, in order of time. So the
 events don't depend on how posts were split into batches, as long as no post is later than the watermark
 allows; Spark drops such rows, which are for ``sync.backfill``.
@@ -14,6 +15,8 @@ What is placed is appended to a log. The events are ``fold.merged_fields`` over
 from __future__ import annotations
 
 import json
+import math
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,68 +32,154 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 ROW = f"calendar string, at timestamp, post_id string, posted_at string, source_kind string, {P.FACE}, {P.KEYS}"
 _NAMES = tuple(c.split()[0] for c in ROW.split(", "))
 _OUT = tuple(c.split()[0] for c in G.PLACED.split(", "))
+MOST, PACK, PART = 10000, 500, 256  # keys held at once, posts of a pack, ids of a part
+
+
+class Held:
+    """A map state, read and written once for each key that a call touches; what is held is written back beyond MOST keys."""
+
+    def __init__(self, state):
+        self._state, self._held, self._changed = state, {}, set()
+
+    def get(self, *key):
+        if key not in self._held:
+            self._room()
+            told = self._state.getValue(key)
+            self._held[key] = None if told is None else json.loads(told[0])
+        return self._held[key]
+
+    def put(self, *key, value) -> None:
+        self._room()
+        self._held[key] = value
+        self._changed.add(key)
+
+    def _room(self) -> None:
+        if len(self._held) >= MOST:
+            self.flush()
+
+    def flush(self) -> None:
+        for key in self._changed:
+            self._state.updateValue(key, (json.dumps(self._held[key]),))
+        self._held, self._changed = {}, set()
 
 
 class StoredFaces:
     """``places.Faces`` in the state store."""
 
     def __init__(self, faces, by_mark):
-        self._faces, self._by_mark = faces, by_mark
+        self._faces, self._by_mark = Held(faces), Held(by_mark)
 
     def face(self, event: str) -> dict:
-        return json.loads(self._faces.getValue((event,))[0])
+        return self._faces.get(event)
 
     def put(self, event: str, face: dict) -> None:
-        self._faces.updateValue((event,), (json.dumps(face),))
+        self._faces.put(event, value=face)
 
     def marked(self, mark: str) -> list[str]:
-        return json.loads(self._by_mark.getValue((mark,))[0]) if self._by_mark.containsKey((mark,)) else []
+        return self._by_mark.get(mark) or []
 
     def mark(self, mark: str, event: str) -> None:
-        self._by_mark.updateValue((mark,), (json.dumps([*self.marked(mark), event]),))
+        self._by_mark.put(mark, value=[*self.marked(mark), event])
 
     def unmark(self, mark: str, event: str) -> None:
-        self._by_mark.updateValue((mark,), (json.dumps([e for e in self.marked(mark) if e != event]),))
+        self._by_mark.put(mark, value=[e for e in self.marked(mark) if e != event])
+
+    def flush(self) -> None:
+        self._faces.flush()
+        self._by_mark.flush()
+
+
+class Seen:
+    """The ids that were placed, dealt over so many parts that one holds about PART of them."""
+
+    def __init__(self, state, n: int):
+        self._state, self._parts, self._width = state, Held(state), self.width(n)
+
+    @staticmethod
+    def width(n: int) -> int:
+        return 1 << (n // PART).bit_length()
+
+    def add(self, post: str) -> bool:
+        """Whether the id is new; it is held from now on."""
+        part = zlib.crc32(post.encode()) % self._width
+        ids = self._parts.get(part) or []
+        if post in ids:
+            return False
+        self._parts.put(part, value=[*ids, post])
+        return True
+
+    def flush(self, n: int) -> None:
+        """Writes what changed; once there are ``n`` ids, each part is dealt over its share of more parts."""
+        self._parts.flush()
+        before, self._width = self._width, self.width(n)
+        for part in range(before if self._width > before else 0):
+            dealt: dict[int, list[str]] = {}
+            for post in self._parts.get(part) or []:
+                dealt.setdefault(zlib.crc32(post.encode()) % self._width, []).append(post)
+            for k in {part, *dealt}:
+                self._state.updateValue((k,), (json.dumps(dealt.get(k, [])),))
 
 
 class Placing(StatefulProcessor):
+    """Posts wait in packs of one month, and the calendar has a timer at or before the first of them."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.faces = StoredFaces(handle.getMapState("faces", "event string", "face string"), handle.getMapState("marks", "mark string", "events string"))
-        self.waiting = handle.getMapState("waiting", "at string, post string", "row string")
-        self.placed = handle.getMapState("placed", "post string", "turn long")
-        self.turn = handle.getValueState("turn", "n long")
+        self.waiting = handle.getMapState("waiting", "month string, first string, n long", "rows string")
+        self.placed = handle.getMapState("placed", "part int", "posts string")
+        self.count = handle.getValueState("count", "turn long, packs long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        due = set()
+        packs, first = Packs(self.waiting, self.count), None
         for frame in rows:
             for row in frame.to_dict("records"):
                 if row["post_id"] is None or pd.isna(row["at"]):
                     continue  # only moves the watermark
-                told = {c: _plain(row[c]) for c in _NAMES if c not in ("calendar", "at")}
-                at, post = told["posted_at"] or "", told["post_id"]
-                if not self.placed.containsKey((post,)) and not self.waiting.containsKey((at, post)):
-                    self.waiting.updateValue((at, post), (json.dumps(told),))
-                    due.add(int(row["at"].timestamp() * 1000))
-        for at in due:
-            self.handle.registerTimer(at)
+                packs.add({c: _plain(row[c]) for c in _NAMES if c not in ("calendar", "at")})
+                at = _millis(row["at"])
+                first = at if first is None else min(first, at)
+        if first is not None:
+            packs.flush()
+            self.handle.registerTimer(first)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until, out = timerValues.getCurrentWatermarkInMs(), []
-        turn = self.turn.get()[0] if self.turn.exists() else 0
-        for at, post in sorted(tuple(k) for k in self.waiting.keys()):
-            row = json.loads(self.waiting.getValue((at, post))[0])
-            if at and pd.Timestamp(at).timestamp() * 1000 > until:
+        until, out, waits = timerValues.getCurrentWatermarkInMs(), [], None
+        over = lambda at: bool(at) and _millis(pd.Timestamp(at)) > until
+        months: dict[str, list[tuple]] = {}
+        for k in sorted(tuple(k) for k in self.waiting.keys()):
+            months.setdefault(k[0], []).append(k)
+        packs = Packs(self.waiting, self.count)
+        seen = Seen(self.placed, packs.turn)
+        for month in sorted(months):
+            first = min(k[1] for k in months[month])
+            if over(first):
+                waits = first
                 break
-            self.waiting.removeKey((at, post))
-            if self.placed.containsKey((post,)):
-                continue
-            turn += 1
-            told = P.place(self.faces, row | {"own": []}, turn)
-            self.placed.updateValue((post,), (turn,))
-            out.append({c: told.get(c) for c in _OUT} | {"post_id": post, "turn": turn, "known": False})
-        self.turn.update((turn,))
+            rows = []
+            for k in months[month]:
+                rows += json.loads(self.waiting.getValue(k)[0])
+                self.waiting.removeKey(k)
+            for row in sorted(rows, key=lambda r: (r["posted_at"] or "", r["post_id"])):
+                if over(row["posted_at"]):
+                    waits = waits or row["posted_at"]
+                    packs.add(row)
+                elif seen.add(row["post_id"]):
+                    packs.turn += 1
+                    told = P.place(self.faces, row | {"own": []}, packs.turn)
+                    out.append({c: told.get(c) for c in _OUT} | {"post_id": row["post_id"], "turn": packs.turn, "known": False})
+            if waits is not None:
+                break
+            if len(out) >= MOST:
+                yield pd.DataFrame(out, columns=list(_OUT))
+                out = []
+        if months:
+            self.faces.flush()
+            seen.flush(packs.turn)
+            packs.flush()
+        if waits is not None:
+            self.handle.registerTimer(_millis(pd.Timestamp(waits)))
         if out:
             yield pd.DataFrame(out, columns=list(_OUT))
 
@@ -98,6 +187,35 @@ class Placing(StatefulProcessor):
         pass
 
 
+class Packs:
+    """Posts that go on waiting, put together; and how many were placed (``turn``) and put together so far."""
+
+    def __init__(self, waiting, count):
+        self._waiting, self._count, self._rows = waiting, count, {}
+        self.turn, self._n = count.get() or (0, 0)
+
+    def add(self, row: dict) -> None:
+        held = self._rows.setdefault((row["posted_at"] or "")[:7], [])
+        held.append(row)
+        if len(held) >= PACK:
+            self._put((row["posted_at"] or "")[:7])
+
+    def _put(self, month: str) -> None:
+        rows = self._rows.pop(month)
+        self._n += 1
+        self._waiting.updateValue((month, min(r["posted_at"] or "" for r in rows), self._n), (json.dumps(rows),))
+
+    def flush(self) -> None:
+        for month in list(self._rows):
+            self._put(month)
+        self._count.update((self.turn, self._n))
+
+
+def _millis(at) -> int:
+    """The first whole millisecond that isn't before an instant."""
+    return math.ceil(at.timestamp() * 1000)
+
+
 def _plain(value):
     """A cell of pandas as JSON has it."""
     if hasattr(value, "tolist"):
