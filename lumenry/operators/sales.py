@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import dealt
 from .posts import status_label
 
 UNKNOWN = "不明"
@@ -36,8 +37,9 @@ def upserted_periods(periods: DataFrame, key: str, order: list[str], fields: lis
     return out.drop(*[f"_{c}" for c in IDENTITY])
 
 
-def without_dateless_twins(periods: DataFrame, key: str) -> DataFrame:
-    """Periods without dates give price and status to a dated one of their tier, and go; those without such a twin stay."""
+def without_dateless_twins(periods: DataFrame, key: str, parts: int | None = None) -> DataFrame:
+    """Periods without dates give price and status to a dated one of their tier, and go; those without such a twin stay. ``parts``: over how many tasks events are dealt."""
+    periods = dealt(periods, parts, key, "ticket_tier")
     dated = F.col("start_at").isNotNull() | F.col("deadline_at").isNotNull()
     same = Window.partitionBy(key, "ticket_tier")
     has_dated = F.max(dated.cast("int")).over(same) == 1
