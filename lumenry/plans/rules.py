@@ -22,7 +22,7 @@ from ..sources import keyed as N
 from ..sources import payload as A
 from ..sources import sinks as W
 from ..sources import state as K
-from ..sources.shared import kept, shared_folder
+from ..sources.shared import kept, parts, shared_folder
 from ..streaming import calendar as Z
 from ..streaming import sync as Y
 from .catalog import _DAYS, _ENTRIES, _SCHEDULE, TODAY, _days, _query
@@ -332,8 +332,9 @@ def refresh_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dry run of the refresh: what would change against rows published before, of which some had other ids and some differ."""
     events = _events(spark, sf_dir)
     number = F.pmod(F.split("id", ":")[0].cast("int"), F.lit(4))
-    before = U.web_page(events, F.lit(AS_OF)).withColumn("n", number).withColumns({"id": F.when(F.col("n") == 0, F.concat(F.lit("old "), "id")).otherwise(F.col("id")), "venue": F.when(F.col("n") == 1, "elsewhere").otherwise(F.col("venue"))}).drop("n")
-    return Y.refresh(events, before, F.lit(AS_OF), shared_folder(spark, "public"))[1]
+    n_parts = parts(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    before = U.page_rows(events, F.lit(AS_OF), n_parts).withColumn("n", number).withColumns({"id": F.when(F.col("n") == 0, F.concat(F.lit("old "), "id")).otherwise(F.col("id")), "venue": F.when(F.col("n") == 1, "elsewhere").otherwise(F.col("venue"))}).drop("n")
+    return Y.refresh(events, before, F.lit(AS_OF), shared_folder(spark, "public"), parts=n_parts)[1]
 
 
 _EXPECTED = "CASE WHEN d0 = 1 AND n = 1 AND p > 1 THEN 'event' WHEN p < 5 AND v + t + u = 0 THEN 'non_event' ELSE 'needs_review' END"

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators.publish import diff_rows, validation_summary
-from ..operators.summary import web_page
+from ..operators.summary import page_order, page_rows
 from ..sources.shared import kept
 from ..sources.state import kept_first, write_version
 
@@ -43,15 +43,15 @@ def backfill(posts: DataFrame, state: DataFrame, key: str, first: list[str]) ->
     return kept_first(state, posts.join(state.select(key), key, "left_anti"), key, first)
 
 
-def refresh(events: DataFrame, published: DataFrame, as_of: Column, path: str, dry_run: bool = True) -> tuple[DataFrame, DataFrame, str | None]:
+def refresh(events: DataFrame, published: DataFrame, as_of: Column, path: str, dry_run: bool = True, parts: int | None = None) -> tuple[DataFrame, DataFrame, str | None]:
     """(check, differences, folder): projects the events, checks the rows, compares them with what is published, and writes.
 
-    Nothing is written in a dry run, with rows in error, or where no row differs.
+    Nothing is written in a dry run, with rows in error, or where no row differs. ``parts``: over how many tasks rows are dealt.
     """
-    rows = kept(web_page(events, as_of))
+    rows = kept(page_rows(events, as_of, parts))
     told = validation_summary(rows)
-    differs = diff_rows(published, rows, "id", ["event_date", "event_name", "venue", "ticket_summary", "application_summary", "ticket_url"])
+    differs = diff_rows(published, rows, "id", ["event_date", "event_name", "venue", "ticket_summary", "application_summary", "ticket_url"], parts)
     sound = told.first()
     changed = differs.filter("change <> 'kept'").limit(1).count()
     write = not dry_run and not sound.n_bad_rows and not sound.n_repeated_ids and changed
-    return told, differs, write_version(rows, path) if write else None
+    return told, differs, write_version(rows.orderBy(*page_order()), path) if write else None
