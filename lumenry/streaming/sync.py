@@ -48,10 +48,16 @@ def refresh(events: DataFrame, published: DataFrame, as_of: Column, path: str, d
 
     Nothing is written in a dry run, with rows in error, or where no row differs. ``parts``: over how many tasks rows are dealt.
     """
-    rows = kept(page_rows(events, as_of, parts))
+    return refreshed(kept(page_rows(events, as_of, parts)), published, path, dry_run, parts)
+
+
+def refreshed(rows: DataFrame, published: DataFrame, path: str, dry_run: bool = True, parts: int | None = None) -> tuple[DataFrame, DataFrame, str | None]:
+    """``refresh`` of rows that are projected already (and kept, as they are read several times). A dry run works nothing out before its results are asked for."""
     told = validation_summary(rows)
     differs = diff_rows(published, rows, "id", ["event_date", "event_name", "venue", "ticket_summary", "application_summary", "ticket_url"], parts)
-    sound = told.first()
+    if dry_run:
+        return told, differs, None
+    differs, sound = kept(differs), told.first()
     changed = differs.filter("change <> 'kept'").limit(1).count()
-    write = not dry_run and not sound.n_bad_rows and not sound.n_repeated_ids and changed
+    write = not sound.n_bad_rows and not sound.n_repeated_ids and changed
     return told, differs, write_version(rows.orderBy(*page_order()), path) if write else None
