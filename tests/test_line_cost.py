@@ -48,3 +48,13 @@ def test_equal_periods_once(spark):
     cells = [{"sale_type": k, "ticket_name": n, "ticket_tier": t, "start_at": s, "deadline_at": e} for k, n, t, s, e in rows]
     df = spark.createDataFrame([([{**{c: None for c in S.NAMES}, **x, "price": i} for i, x in enumerate(cells)],), ([],), (None,)], f"p array<{period}>")
     assert [r.p if r.p is None else [x.price for x in r.p] for r in df.select(S._each_once(F.col("p")).alias("p")).collect()] == [[0, 3, 4, 5], [], None]
+
+
+def test_classes_are_worked_out_once(spark):
+    cells = {c: F.lit(None).cast("string") for c in P.FEATURES[:4]} | {c: F.lit(False) for c in P.FEATURES[4:]}
+    posts = spark.createDataFrame([("ライブ 公演 チケット",), ("御礼",), (None,)], "text string").withColumns(cells)
+    told = P.classify(posts)
+    assert told.columns == [*posts.columns, "classification", "classification_confidence", "source_kind"]
+    kept = told.filter("classification <> 'non_event'")
+    assert not [x for x in _plan(kept).splitlines() if "Filter" in x and "御礼" in x]
+    assert sorted((r.text or "", r.classification) for r in told.collect()) == [("", "non_event"), ("ライブ 公演 チケット", "needs_review"), ("御礼", "non_event")]
